@@ -43,12 +43,12 @@ LENGTH, GRAM = 50, 16
 SIDE = LENGTH - GRAM
 HALF = SIDE // 2
 LARGE = 2000
-FLUSH = 8 << 20
+FLUSH = 2 << 20
 BUCKETS_PER_PARTITION = 4
 _rng = np.random.default_rng(97)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SMALL = np.uint64((1 << 48) - 1)
 
 
