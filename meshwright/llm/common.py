@@ -48,8 +48,7 @@ def text_of(column: str | Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The array of words of a text."""
-    spaced = F.translate(text, SPACES[1:], " " * 5)
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def lower_ascii(text: Column) -> Column:

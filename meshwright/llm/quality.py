@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import SPACES, cut, text_of, words_of
+from meshwright.llm.common import WORD, cut, text_of, words_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 EM_ROUNDS = 60
@@ -54,11 +54,13 @@ def count_repeat_words(words: Column) -> Column:
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct column __q of counts over whole texts."""
     t = text_of(text)
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    bare = F.translate(t, SPACES, "")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
 
-    def drop(column: Column, chars: str) -> Column:
-        return F.length(column) - F.length(F.translate(column, chars, ""))
+    def count(pattern: str) -> Column:
+        return F.regexp_count(t, F.lit(pattern)).cast("long")
+
+    def count_mark(mark: str) -> Column:
+        return (F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))).cast("long")
 
     listed = [*FUNCTION_WORDS, *(w.capitalize() for w in FUNCTION_WORDS)]
     df = docs.withColumn("__w", words_of(t)).withColumn("__l", lines)
@@ -68,15 +70,15 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "__q",
         F.struct(
             F.size("__w").cast("long").alias("n_words"),
-            F.length(bare).cast("long").alias("word_chars"),
-            drop(t, "#*$%&|<>").cast("long").alias("n_symbols"),
+            F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+            count("[#*$%&|<>]").alias("n_symbols"),
             (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
             repeats(F.col("__h")).alias("n_repeat_words"),
             F.size("__l").cast("long").alias("n_lines"),
             F.size(F.array_intersect("__w", F.array(*map(F.lit, dict.fromkeys(listed))))).cast("long").alias("n_function"),
-            drop(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÚÛÜ").cast("long").alias("n_capitals"),
-            drop(t, "!").cast("long").alias("n_exclaims"),
-            drop(t, "|").cast("long").alias("n_bars"),
+            count("[A-ZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÚÛÜ]").alias("n_capitals"),
+            count_mark("!").alias("n_exclaims"),
+            count_mark("|").alias("n_bars"),
         ),
     ).drop("__w", "__l", "__h")
 
