@@ -56,8 +56,10 @@ class Powers:
     """Powers of BASE and of its inverse modulo 2 ** 64."""
 
     def __init__(self, n: int) -> None:
-        self.up = np.cumprod(np.concatenate([[1], np.full(n, BASE, np.uint64)]).astype(np.uint64))
-        self.down = np.cumprod(np.concatenate([[1], np.full(n, pow(BASE, -1, 2**64), np.uint64)]).astype(np.uint64))
+        self.up, self.down = (np.ones(n + 1, np.uint64) for _ in range(2))  # unsigned throughout: a mixed array would turn to floats
+        self.up[1:], self.down[1:] = BASE, pow(BASE, -1, 2**64)
+        np.cumprod(self.up, out=self.up)
+        np.cumprod(self.down, out=self.down)
 
 
 def sliding(a: np.ndarray, w: int, f) -> np.ndarray:
