@@ -250,13 +250,9 @@ def meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def common(a: bytes, b: bytes) -> int:
     """Length of the common prefix."""
-    low, high = 0, min(len(a), len(b))
-    if a[:high] == b[:high]:
-        return high
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid)
-    return low
+    n = min(len(a), len(b))
+    unlike = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (unlike.bit_length() + 7) // 8
 
 
 def maximal_repeats(texts: list[bytes], least: int = LENGTH) -> Iterator[tuple[int, list[tuple[int, int]]]]:
@@ -271,7 +267,8 @@ def maximal_repeats(texts: list[bytes], least: int = LENGTH) -> Iterator[tuple[i
     before = [texts[i][s - 1] if s else -1 - i for _, i, s in suffixes]
     stack: list[tuple[int, int]] = []  # (common prefix, first member)
     for r in range(1, len(suffixes) + 1):
-        lcp = common(suffixes[r - 1][0], suffixes[r][0]) if r < len(suffixes) else 0
+        # A common prefix under ``least`` closes all intervals, whatever its length.
+        lcp = common(suffixes[r - 1][0], suffixes[r][0]) if r < len(suffixes) and suffixes[r - 1][0][:least] == suffixes[r][0][:least] else 0
         begin = r - 1
         while stack and stack[-1][0] > lcp:
             length, begin = stack.pop()
@@ -290,16 +287,19 @@ def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(group) < 2:
             return
         n = len(group)
-        reach = [0] * n
+        reach: list[list[int]] = []
         for side in (lambda g: g[4][g[3] :], lambda g: g[4][: g[3]][::-1]):  # right of the anchor's start; left of it, backward
             keyed = sorted((side(g), i) for i, g in enumerate(group))
             best = [0] * n
             for (x, i), (y, j) in zip(keyed, keyed[1:], strict=False):
                 c = common(x, y)
                 best[i], best[j] = max(best[i], c), max(best[j], c)
-            reach = [a + b for a, b in zip(reach, best, strict=True)]
-        near = [g for g, r in zip(group, reach, strict=True) if r >= LENGTH]
-        texts = [g[4] for g in near]
+            reach.append(best)
+        # No other context agrees with one beyond its reach, so that only the stretch within it is indexed.
+        near = [(doc, tag, start + left - lt, text[left - lt : left + rt]) for (doc, tag, start, left, text), rt, lt in zip(group, *reach, strict=True) if rt + lt >= LENGTH]
+        if len({g[0] for g in near}) < 2:
+            return
+        texts = [g[3] for g in near]
         for length, places in maximal_repeats(texts):
             least = min(near[i][0] for i, _ in places)
             for i, s in places:
@@ -325,13 +325,20 @@ def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+def merged(spans: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """For each row, its spans (a, b) in order, with those that overlap or touch joined."""
+    flat, counts = spans.flatten(), spans.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(counts), dtype=np.int64) << 32, counts)
+    a, b = (row + flat.field(i).to_numpy() for i in range(2))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] > b[:-1]
+    first = np.flatnonzero(new)
+    a, b = a[first], b[np.append(first[1:], len(b)) - 1] if len(b) else b
+    out: list[list[tuple[int, int]]] = [[] for _ in counts]
+    for r, x, y in zip((a >> 32).tolist(), (a & 0xFFFFFFFF).tolist(), (b & 0xFFFFFFFF).tolist(), strict=True):
+        out[r].append((x, y))
     return out
 
 
@@ -376,9 +383,8 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     def told(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             out = []
-            for t, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            for t, gaps in zip(batch.column("text"), merged(batch.column("spans")), strict=True):
                 raw, at, kept = t.as_py().encode("utf-8"), 0, hashlib.sha256()
-                gaps = merged([(s["a"], s["b"]) for s in spans or ()])
                 for a, b in gaps:
                     kept.update(raw[at:a])
                     at = b
@@ -387,4 +393,5 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=[c.split()[0] for c in schema.split(", ")])
 
-    return rows.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(told, schema)
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    return rows.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans")).mapInArrow(told, schema)
