@@ -140,8 +140,20 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def links_of(reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame | None:
-    """Confirmed links (a, b) that connect what near duplicates connect; None if there are no candidates. ``reps``: tid, doc_id, sig."""
+def grown(state: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (tid, comp) with more links added: only links between components are followed, not all those of before."""
+    ends = [state.select(F.col("tid").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+    over = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = cut(over.where("a <> b").distinct(), "over")
+    if over.isEmpty():
+        return state
+    new = components(over)
+    old = state.join(new.select(F.col("tid").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("tid", F.coalesce("root", "comp").alias("comp"))
+    return cut(old.unionAll(new.join(state.select("tid"), "tid", "left_anti")), "state")
+
+
+def linked(reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame | None:
+    """Components (tid, comp) of the confirmed links; None if there are no candidates. ``reps``: tid, doc_id, sig."""
     element = F.explode(F.transform("sig", lambda v, i: F.xxhash64(v, i))).alias("e")
     posted = reps.select("tid", element)
     shared = posted.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
@@ -164,22 +176,21 @@ def links_of(reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame
 
     # First each list's least member meets all others: one of them is enough to join a list of near copies.
     hubs = lists.groupBy("e").agg(F.min("tid").alias("a"))
-    links = tested(lists.join(hubs, "e").where("tid <> a").select("a", F.col("tid").alias("b")).distinct())
+    state = components(tested(lists.join(hubs, "e").where("tid <> a").select("a", F.col("tid").alias("b")).distinct()))
     lists = lists.join(hubs, "e").where("tid <> a").select("e", "tid")
     turn = 0
     while True:
-        lists = lists.select("e", "tid").join(components(links), "tid", "left").select("e", "tid", F.coalesce("comp", "tid").alias("comp"))
+        lists = lists.select("e", "tid").join(state, "tid", "left").select("e", "tid", F.coalesce("comp", "tid").alias("comp"))
         open_ = lists.groupBy("e").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("e", "m")
         lists = cut(lists.join(open_, "e"), "lists")
         if lists.isEmpty():
-            return links
+            return state
         # Short lists end here with all pairs across components; in long ones ever more members, drawn by hash, meet the rest.
         meets = (F.col("m") <= SHORT_LIST) | (F.pmod(F.xxhash64("tid", "e", F.lit(turn)), F.col("m")) < HUBS * 8**turn)
         marked = lists.withColumn("meets", meets)
         one, other = marked.where("meets").alias("x"), marked.alias("y")
         across = one.join(other, "e").where("x.comp <> y.comp AND (x.tid < y.tid OR NOT y.meets)")
-        fresh = tested(across.select(F.least("x.tid", "y.tid").alias("a"), F.greatest("x.tid", "y.tid").alias("b")).distinct())
-        links = cut(links.unionAll(fresh), "links")
+        state = grown(state, tested(across.select(F.least("x.tid", "y.tid").alias("a"), F.greatest("x.tid", "y.tid").alias("b")).distinct()))
         lists = marked.where("NOT meets").select("e", "tid")
         turn += 1
 
@@ -201,11 +212,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     seen = cut(sketch(docs, key, text), "sketch")
     named = seen.where(F.col("doc_id").isNotNull() & F.col("tid").isNotNull())
     reps = cut(named.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "reps")
-    links = links_of(reps, docs, key, text)
+    state = linked(reps, docs, key, text)
     # A doc_id with several texts ties them together.
     several = named.groupBy("doc_id").agg(F.min("tid").alias("a"), F.max("tid").alias("z")).where("a <> z").select("doc_id", "a")
     tied = named.select("doc_id", "tid").join(several, "doc_id").where("tid <> a").select("a", F.col("tid").alias("b"))
-    comp = components(tied if links is None else links.unionAll(tied))
+    comp = components(tied) if state is None else grown(state, tied)
     label = reps.select("tid", "doc_id").join(comp, "tid", "left").select("tid", F.coalesce("comp", "tid").alias("comp"), "doc_id")
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     label = label.select("tid", "comp").join(least, "comp").select("tid", "component_id")
