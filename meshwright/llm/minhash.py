@@ -13,8 +13,10 @@ Copies of one word sequence are one node from the start. Inside a posting list,
 each member is first compared with the list's least member alone; members found
 linked fall into one component, and only lists that still hold several components
 go on: short ones with all pairs across components, long ones with more and more
-members, drawn by hash, that meet the rest. So a list of near copies costs as many
-pairs as it has members, and no pair that could join two components is left out.
+members, drawn by a hash of the member alone, that meet the rest; as a group of near
+copies shares many lists, the same members are drawn in all of them and their pairs
+coincide. So a group costs few pairs for each member, and no pair that could join two
+components is left out.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is
 linked with nothing; a null doc_id is linked with nothing, and its component_id is
@@ -37,6 +39,7 @@ from meshwright.llm.common import cut, text_of
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 48, 20
 SHORT_LIST, HUBS = 96, 16
+A_CELL, B_CELL, PAIRS_A_TASK = 64, 512, 20_000
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(20_240_601)
 FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,22 +111,42 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    both = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
+    """The pairs (a, b) whose full shingle sets are similar enough.
+
+    Both sides are dealt to cells by hash, A_CELL by B_CELL texts of them at most on
+    average. A cell gets each of its texts once, however many pairs there name it.
+    """
+    total, na, nb = pairs.agg(F.count("*"), F.approx_count_distinct("a"), F.approx_count_distinct("b")).first()
+    place = [F.pmod(F.xxhash64(x), F.lit(1 + n // most)).alias(f"c{x}") for x, n, most in (("a", na, A_CELL), ("b", nb, B_CELL))]
+    placed = pairs.select("a", "b", *place)
+    ones = placed.select("ca", "cb", F.col("a").alias("tid")).distinct().withColumn("mates", F.lit(None).cast("array<bigint>"))
+    others = placed.groupBy("ca", "cb", F.col("b").alias("tid")).agg(F.collect_list("a").alias("mates"))
+    # Work follows the pairs, not the bytes, so the number of tasks is set by them.
+    tasks = min(1 + total // PAIRS_A_TASK, 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = ones.unionAll(others).join(texts, "tid").select("ca", "cb", "tid", "mates", "text")
+    rows = rows.repartition(tasks, "ca", "cb").sortWithinPartitions("ca", "cb", F.col("mates").isNotNull())
 
     def told(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo, cell, sets = WordHashes(), None, {}
         for batch in frames:
-            keep, last, held = [], None, None
-            for x, y, b in zip(batch.column("ta"), batch.column("tb"), batch.column("b").to_pylist(), strict=True):
-                if b != last:
-                    last, held = b, shingles(words(y.as_py()), memo)
-                own = shingles(words(x.as_py()), memo)
-                common = len(np.intersect1d(own, held, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(own) + len(held) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(told, "a bigint, b bigint")
+            a, b = [], []
+            columns = [batch.column(x).to_pylist() for x in ("ca", "cb", "tid", "mates")]
+            for ca, cb, tid, mates, text in zip(*columns, batch.column("text"), strict=True):
+                if (ca, cb) != cell:
+                    cell, sets = (ca, cb), {}
+                own = shingles(words(text.as_py()), memo)
+                if mates is None:
+                    sets[tid] = own
+                    continue
+                for mate in mates:
+                    held = sets[mate]
+                    common = len(np.intersect1d(own, held, assume_unique=True))
+                    if 100 * common >= PERCENT * (len(own) + len(held) - common):
+                        a.append(mate)
+                        b.append(tid)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(told, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -153,7 +176,7 @@ def grown(state: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked(reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame | None:
-    """Components (tid, comp) of the confirmed links; None if there are no candidates. ``reps``: tid, doc_id, sig."""
+    """Components (tid, comp) of the confirmed links; None if there are no candidates. ``reps``: tid, doc_id, n, sig."""
     element = F.explode(F.transform("sig", lambda v, i: F.xxhash64(v, i))).alias("e")
     posted = reps.select("tid", element)
     shared = posted.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
@@ -171,7 +194,8 @@ def linked(reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame |
     alike = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
 
     def tested(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(sigs.select(F.col("tid").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("tid").alias("b"), F.col("sig").alias("sb")), "b").where(alike >= MATCHES)
+        ends = [sigs.select(F.col("tid").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
+        near = pairs.join(ends[0], "a").join(ends[1], "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).where(alike >= MATCHES)
         return cut(confirm(cut(near.select("a", "b"), "pairs"), texts), "links")
 
     # First each list's least member meets all others: one of them is enough to join a list of near copies.
@@ -186,11 +210,13 @@ def linked(reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame |
         if lists.isEmpty():
             return state
         # Short lists end here with all pairs across components; in long ones ever more members, drawn by hash, meet the rest.
-        meets = (F.col("m") <= SHORT_LIST) | (F.pmod(F.xxhash64("tid", "e", F.lit(turn)), F.col("m")) < HUBS * 8**turn)
+        drawn = F.pmod(F.xxhash64("tid", F.lit(turn)), F.lit(1 << 32)) * F.col("m") < F.lit(HUBS * 8**turn << 32)
+        meets = (F.col("m") <= SHORT_LIST) | drawn
         marked = lists.withColumn("meets", meets)
         one, other = marked.where("meets").alias("x"), marked.alias("y")
         across = one.join(other, "e").where("x.comp <> y.comp AND (x.tid < y.tid OR NOT y.meets)")
-        state = grown(state, tested(across.select(F.least("x.tid", "y.tid").alias("a"), F.greatest("x.tid", "y.tid").alias("b")).distinct()))
+        # The drawn member is a, so that the fewer texts are a's.
+        state = grown(state, tested(across.select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct()))
         lists = marked.where("NOT meets").select("e", "tid")
         turn += 1
 
@@ -211,7 +237,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     seen = cut(sketch(docs, key, text), "sketch")
     named = seen.where(F.col("doc_id").isNotNull() & F.col("tid").isNotNull())
-    reps = cut(named.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "reps")
+    reps = cut(named.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
     state = linked(reps, docs, key, text)
     # A doc_id with several texts ties them together.
     several = named.groupBy("doc_id").agg(F.min("tid").alias("a"), F.max("tid").alias("z")).where("a <> z").select("doc_id", "a")
