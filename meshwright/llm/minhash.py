@@ -39,7 +39,7 @@ from meshwright.llm.common import cut, text_of
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 48, 20
 SHORT_LIST, HUBS = 96, 16
-A_CELL, B_CELL, PAIRS_A_TASK = 64, 512, 20_000
+A_CELL, B_CELL, PAIRS_A_TASK = 256, 256, 20_000
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(20_240_601)
 FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

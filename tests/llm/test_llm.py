@@ -228,6 +228,8 @@ def test_near_duplicates_in_long_lists(spark, monkeypatch):
     rows += [(1000 + i, " ".join(base[:60] + [f"y{rng.randint(0, 10**6)}" for _ in range(60)])) for i in range(60)]
     monkeypatch.setattr(minhash, "SHORT_LIST", 8)
     monkeypatch.setattr(minhash, "HUBS", 4)
+    monkeypatch.setattr(minhash, "A_CELL", 8)
+    monkeypatch.setattr(minhash, "B_CELL", 16)
     got = Counter(map(tuple, minhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
     assert got == near_brute(rows)
 
