@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of TABLES tables has HASHES functions floor((a.x + b) / WIDTH) with Gaussian,
-within a table orthogonal, directions a. A query visits PROBES buckets a table,
+Each of TABLES tables has HASHES functions floor((a.x + b) / w) with Gaussian,
+within a table orthogonal, directions a. The width w is WIDTH for projections a.x
+of standard deviation SPREAD and goes with the measured one. A query visits PROBES buckets a table,
 its own first, then perturbed ones in the order of their estimated success
 (smallest summed squared distance to the crossed boundaries). Candidates of all
 tables are merged and reranked by exact Euclidean distance.
@@ -11,15 +12,20 @@ over blocks of about BLOCK rows, counted beforehand, so that a large bucket is
 spread over tasks and none is capped; a probe goes to every block of its bucket.
 Each task keeps the ``k`` nearest of each query that it meets.
 
+A query that met fewer than ``k`` candidates, or whose buckets hold a vector at
+the distance of its k-th candidate with a probability under SURE, is then held
+against all vectors, which are dealt over blocks of about EXACT rows.
+
 Defined cases: vectors that are null, zero, of another length than the first
 query's, or hold null or non-finite components take no part, as rows or as
 queries; a null id takes no part; repeated rows with one id are one candidate; a
-query with fewer than ``k`` candidates gets all that were found.
+query with fewer than ``k`` candidates in the table gets them all.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +37,7 @@ from meshwright.llm.common import cut
 
 TABLES, HASHES, WIDTH, PROBES = 2, 8, 0.4, 224
 BLOCK = 128
+SPREAD, SURE, EXACT = 0.125, 0.9, 1024
 
 
 class Family:
@@ -72,6 +79,19 @@ def probe_sets(fraction: np.ndarray, probes: int) -> list[list[tuple[int, int]]]
     return out
 
 
+def success(fraction: np.ndarray, sets: list[list[tuple[int, int]]], sigma: float) -> float:
+    """Probability that a vector whose projections lie Gaussian, ``sigma`` widths wide, about the query's is in one of the buckets."""
+    if sigma == 0:
+        return 1.0
+    edges = np.stack([-1 - fraction, -fraction, 1 - fraction, 2 - fraction]) / (sigma * math.sqrt(2))
+    mass = np.diff(np.vectorize(math.erf)(edges), axis=0) / 2
+    row = np.ones((len(sets), len(fraction)), np.int64)
+    for j, s in enumerate(sets):
+        for f, d in s:
+            row[j, f] += d
+    return float(mass[row, np.arange(len(fraction))].prod(1).sum())
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -83,12 +103,13 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vecto
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(sound & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     empty = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    first = rows.where("asks").select(F.size("v").alias("n")).orderBy("n").first()
+    first = rows.where("asks").select(F.size("v").alias("n"), "v").orderBy("n").first()
     if first is None:
         return empty
     dim = first["n"]
     rows = rows.where(F.size("v") == dim)
     kind = dict(rows.dtypes)["v"]
+    width *= scale_of(rows, np.array(first["v"], np.float64), Family(dim, seed, tables, hashes))
 
     def places(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family(dim, seed, tables, hashes, width)
@@ -136,11 +157,13 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vecto
             own, names = np.concatenate(ids), np.concatenate([r[0] for r in rest])
             for i in range(len(q)):
                 d = np.sqrt(((x - q[i]) ** 2).sum(1))
-                use = np.lexsort((names, d))[: k + 1]
-                mine = best.setdefault(int(own[i]), {})
-                for j in use:
+                mine, taken = best.setdefault(int(own[i]), {}), set()
+                for j in np.lexsort((names, d)):
+                    if len(taken) == k:
+                        break
                     if names[j] != own[i]:
                         n = int(names[j])
+                        taken.add(n)
                         mine[n] = min(float(d[j]), mine.get(n, np.inf))
                 if len(mine) > 4 * k:
                     best[int(own[i])] = dict(sorted(mine.items(), key=lambda e: (e[1], e[0]))[:k])
@@ -167,10 +190,55 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vecto
             part = out[i : i + 10_000]
             yield pa.record_batch([pa.array([r[c] for r in part], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(nearest, "query_id bigint, vec_id bigint, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ranked(met: DataFrame) -> DataFrame:
+        found = met.mapInArrow(nearest, "query_id bigint, vec_id bigint, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def unsure(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family = Family(dim, seed, tables, hashes, width)
+        for batch in frames:
+            if not batch.num_rows:
+                continue
+            x, last = matrix(batch.column("v")), batch.column("last").to_numpy(zero_copy_only=False).astype(np.float64)
+            keep = np.isnan(last)
+            missed = np.ones(len(x))
+            for t in range(tables):
+                p = family.project(x, t)
+                fraction = p - np.floor(p)
+                for i in np.flatnonzero(~keep):
+                    missed[i] *= 1 - success(fraction[i], probe_sets(fraction[i], probes), last[i] / math.sqrt(dim) / width)
+            yield pa.record_batch([c.filter(pa.array(keep | (missed > 1 - SURE))) for c in (batch.column("id"), batch.column("v"))], names=["id", "v"])
+
+    found = cut(ranked(met), "ann")
+    last = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("last"))
+    rest = cut(rows.where("asks").select("id", "v").join(last, "id", "left").repartition(spread_of(vectors), "id").mapInArrow(unsure, f"id bigint, v {kind}"), "ann")
+    if rest.isEmpty():
+        return found
+    blocks = math.ceil(rows.count() / EXACT)
+    stored = rows.select(F.lit(0).cast("long").alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("side"), "id", "v")
+    asked = rest.select(F.lit(0).cast("long").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("side"), "id", "v")
+    met = asked.unionAll(stored).repartition(spread_of(vectors), "bucket", "block").sortWithinPartitions("bucket", "block", "side")
+    again = rest.select(F.col("id").alias("query_id")).distinct()
+    return found.join(again, "query_id", "left_anti").unionAll(ranked(met))
+
+
+def scale_of(rows: DataFrame, middle: np.ndarray, family: Family) -> float:
+    """Standard deviation of the projections over SPREAD, to two digits, so that the order of a sum changes nothing; 1 if all are alike."""
+
+    def sums(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column("v")) - middle
+            p = np.concatenate([x @ a for a in family.a], 1)
+            yield pa.record_batch([pa.array(np.arange(p.shape[1])), pa.array(np.full(p.shape[1], len(p))), pa.array(p.sum(0)), pa.array((p**2).sum(0))], names=["f", "n", "s", "q"])
+
+    per = rows.select("v").mapInArrow(sums, "f bigint, n bigint, s double, q double").groupBy("f").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
+    variance = sum(r["q"] / r["n"] - (r["s"] / r["n"]) ** 2 for r in per) / len(per)
+    scale = math.sqrt(max(variance, 0)) / SPREAD
+    return float(f"{scale:.1e}") if 0 < scale < math.inf else 1.0
 
 
 def spread_of(df: DataFrame) -> int:

@@ -370,6 +370,36 @@ def test_neighbours_awkward(spark):
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 0] == [1, 2, 100]
 
 
+def recall(spark, rows, more=()):
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in [*rows, *more]], "vec_id bigint, embedding array<double>")
+    got = defaultdict(dict)
+    for r in ann.search(frame, F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    out = {}
+    for i, want in near_vectors(rows):
+        assert len(got[i]) == len(want)
+        out[i] = len(set(got[i]) & {n for n, _ in want}) / len(want)
+    return out
+
+
+@pytest.mark.parametrize("times", [0.01, 2, 5])
+def test_neighbours_at_any_scale(spark, times):
+    rows = [(r["vec_id"], [times * c for c in r["embedding"]]) for r in spark.read.parquet(f"{MID}/embeddings.parquet").collect()]
+    found = recall(spark, rows).values()
+    assert sum(found) / len(found) >= 0.9
+
+
+def test_neighbours_of_a_long_query(spark):
+    rows = [(r["vec_id"], [(4 if r["vec_id"] == 100 else 1) * c for c in r["embedding"]]) for r in spark.read.parquet(f"{MID}/embeddings.parquet").collect()]
+    assert recall(spark, rows)[100] == 1
+
+
+def test_neighbours_in_small_tables(spark):
+    rows = [(100 * i, r["embedding"]) for i, r in enumerate(spark.read.parquet(f"{MID}/embeddings.parquet").orderBy("vec_id").limit(8).collect())]
+    assert set(recall(spark, rows).values()) == {1}
+    assert set(recall(spark, rows, more=[rows[1]] * 15).values()) == {1}
+
+
 def test_chat(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-1, 1, "assistant", "<|end|> \\l <"), (-1, 0, "us|er", None), (-1, 0, None, "|>"), (None, 0, "assistant", "a"), (None, 0, "assistant", "a"), (-2, None, "assistant", "<|turn:assistant|>\\")]
