@@ -206,6 +206,8 @@ for _i in range(1, 4):
     PR += f", p{_i} AS (SELECT ids.id, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * coalesce(sum(q.s / d), 0) AS s FROM ids CROSS JOIN n LEFT JOIN f ON f.dst = ids.id LEFT JOIN p{_i - 1} q ON q.id = f.src LEFT JOIN deg ON deg.src = f.src GROUP BY ids.id)"
 native("pagerank", f"WITH {PR} SELECT id, CAST(round(s * 1e9) AS BIGINT) AS score FROM p3")(lambda g: alg.pagerank(g.vertices.where("label = 'customer'"), g.adj, rounds=3).select("id", F.round(F.col("score") * 1e9).cast("long").alias("score")))
 native("components", f"WITH RECURSIVE {FD}, s AS (SELECT src, dst FROM f WHERE src < {C + 300} AND dst < {C + 300} UNION SELECT dst, src FROM f WHERE src < {C + 300} AND dst < {C + 300}), r(id, x) AS (SELECT {C} + c_custkey, {C} + c_custkey FROM customer WHERE c_custkey < 300 UNION SELECT r.id, dst FROM r JOIN s ON src = x) SELECT id, min(x) AS component FROM r GROUP BY id")(lambda g: alg.components(g.vertices.where(f"label = 'customer' AND id < {C + 300}"), g.adj))
+# The whole graph, which recursive SQL is too slow for.
+native("components_all")(lambda g: alg.components(g.vertices.where("label = 'customer'"), g.adj))
 RANGE_SQL = f"WITH {FD} SELECT count(DISTINCT src) AS n_vertices, count(*) FILTER (WHERE dst BETWEEN {C + 100} AND {C + 300}) AS n_edges, n_edges / (n_vertices * (n_vertices - 1))::DOUBLE AS density FROM f WHERE src BETWEEN {C + 100} AND {C + 300}"
 native("range_query", RANGE_SQL)(lambda g: alg.range_summary(g.vertices, g.adj, C + 100, C + 300))
 native("range_neighbors", f"WITH {FD} SELECT src, dst FROM f WHERE src BETWEEN {C + 100} AND {C + 300} AND dst BETWEEN {C + 100} AND {C + 300}")(lambda g: g.adj.where(F.col("src").between(C + 100, C + 300) & F.col("dst").between(C + 100, C + 300)))

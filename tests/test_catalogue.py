@@ -40,3 +40,21 @@ def test_query(spark, duck, name):
     at = [got.columns.index(c) for c in columns]
     want = Counter(tuple(plain(r[i]) for i in at) for r in got.fetchall())
     assert rows == want
+
+
+def test_components_of_all_customers(spark):
+    d = "/root/testdata/sf0.01"
+    root = {3_000_000_000 + r[0]: 3_000_000_000 + r[0] for r in spark.read.parquet(f"{d}/customer.parquet").select("c_custkey").collect()}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    orders = [3_000_000_000 + r[0] for r in spark.read.parquet(f"{d}/orders.parquet").orderBy("o_orderkey").select("o_custkey").collect()]
+    for a, b in zip(orders, orders[1:]):
+        if a in root and b in root:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    assert len(root) > 300
+    assert {r["id"]: r["component"] for r in QUERIES["components_all"](spark, d).collect()} == {i: find(i) for i in root}
