@@ -49,7 +49,7 @@ def mod97(x: Column) -> Column:
 
 
 def octets(x: Column) -> Column:
-    return F.forall(F.split(x, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.expr("0") + F.right(p, F.lit(3)).cast("int") <= 255))
+    return F.forall(F.split(x, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.expr("0") + F.right(p, F.lit(3)).cast("int") <= 255))
 
 
 def phone_digits(x: Column) -> Column:

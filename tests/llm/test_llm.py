@@ -455,6 +455,13 @@ def test_pii(spark, d, request):
         assert any("iban:" in r["spans"] for r in rows)
 
 
+def test_ip_parts(spark):
+    said = ["1192.168.1.1", "on 2024.10.1.2, 2024.10.1.300", "0001.0.0.0 and 1.2.3.0000", "000255.1.1.1 000256.1.1.1", "1.1000.1.1 10.0.0.1"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string")
+    for r in pii.find(docs).collect():
+        assert [(s["start"], s["end"]) for s in r["__spans"] if s["kind"] == "ip"] == pii_brute(r["text"])["ip"]
+
+
 def test_redaction(spark, awkward):
     docs = spark.read.parquet(f"{awkward}/documents.parquet")
     out = pii.redact(docs)
