@@ -266,6 +266,12 @@ def timeline_of(g) -> DataFrame:
 
 native("timeline", f"WITH {FD}, n AS (SELECT dst FROM f WHERE src = {C + 1} ORDER BY dst LIMIT 50) SELECT {O} + o_orderkey AS id, dst AS author, o_orderdate FROM n JOIN orders ON {C} + o_custkey = dst ORDER BY o_orderdate DESC, id LIMIT 20", ("placed", "follows"))(timeline_of)
 text("user_posts", ("placed",), f"g.V({C + 1}).out('placed').order().by('o_orderdate', desc).limit(10)", f"SELECT {O} + o_orderkey AS id FROM orders WHERE o_custkey = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+def comments(s: SparkSession, d: str) -> DataFrame:
+    clicks = read(s, d, "events").where("event_type = 'click'").join(read(s, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id")
+    return clicks.orderBy("ts", "event_id").select("event_id", "event_type", F.col("c_name").alias("author"))
+
+
+tables("post_comments_all", "SELECT event_id, event_type, c_name AS author FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'click' ORDER BY ts, event_id")(comments)
 tables("post_comments", "SELECT event_id, event_type, c_name AS author FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'click' ORDER BY ts, event_id LIMIT 20")(lambda s, d: read(s, d, "events").where("event_type = 'click'").join(read(s, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id").orderBy("ts", "event_id").limit(20).select("event_id", "event_type", F.col("c_name").alias("author")))
 
 
