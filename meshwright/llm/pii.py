@@ -89,7 +89,9 @@ def spans_of(text: Column, kind: Kind) -> Column:
     confirmed = F.filter(placed, lambda x: kind.check(x["p"]["m"]))
 
     def span(x: Column) -> Column:
-        near = F.lower(F.right(x["p"]["g"], F.lit(CONTEXT)))
+        start = (x["e"] - F.length(x["p"]["m"])).cast("int")
+        first = F.greatest(start - CONTEXT, F.lit(0))
+        near = F.lower(F.substring(text, first + 1, start - first))
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near.rlike(kind.context), 0.3).otherwise(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), (x["e"] - F.length(x["p"]["m"])).alias("start"), x["e"].alias("end"), score.alias("score"))
 

@@ -462,6 +462,11 @@ def test_ip_parts(spark):
         assert [(s["start"], s["end"]) for s in r["__spans"] if s["kind"] == "ip"] == pii_brute(r["text"])["ip"]
 
 
+def test_context_before_a_list(spark):
+    docs = spark.createDataFrame([(1, "SSN: 123-45-6789, 987-65-4320"), (2, "SSN: 123-45-6789, " + "x" * 40 + " 987-65-4320"), (3, "é ssn 123-45-6789")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()} == {1: "SSN: [SSN], [SSN]", 2: "SSN: [SSN], " + "x" * 40 + " 987-65-4320", 3: "é ssn [SSN]"}
+
+
 def test_redaction(spark, awkward):
     docs = spark.read.parquet(f"{awkward}/documents.parquet")
     out = pii.redact(docs)
