@@ -2,43 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwright.settle import settle
+
+#: Cuts lineage by a table written in the shared folder.
+cut = settle
+
 #: A word is a run of anything but these six ASCII white-space characters.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
+def spread_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    Only a session without that setting (tests, local runs) gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshwright-"))
-    return sc.getCheckpointDir()
 
+def free_name(taken: list[str], wanted: str) -> str:
+    """``wanted``, or with underscores behind it the first name that no column has (Spark's names ignore case)."""
+    used = {c.lower() for c in taken}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts lineage as checkpoint() does, but keeps columns separate and
-    compressed, so that a later read takes only the columns it needs. The files
-    survive lost executors; the cluster's retention of the folder removes them.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def quoted(columns: list[str]) -> list[str]:
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
 
 
 def text_of(column: str | Column) -> Column:

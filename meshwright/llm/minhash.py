@@ -2,21 +2,29 @@
 
 A document's set is its distinct 5-word shingles. COORDINATES minimum hashes make
 its signature; the document is posted under each (coordinate, value). Two
-documents of similarity 0.75 share at least MATCHES of these postings but for a
-chance under one in a million, so it is enough to meet in the prefix: the
-COORDINATES - MATCHES + 1 postings of each document that are rarest in the
-corpus. Postings that one document alone has are skipped before anything meets.
-Candidate pairs count shared coordinates, and those with MATCHES or more are
-confirmed on their full shingle sets.
-
-Copies of one word sequence are one node from the start. Inside a posting list,
-each member is first compared with the list's least member alone; members found
-linked fall into one component, and only lists that still hold several components
-go on: short ones with all pairs across components, long ones with more and more
-members, drawn by a hash of the member alone, that meet the rest; as a group of near
-copies shares many lists, the same members are drawn in all of them and their pairs
-coincide. So a group costs few pairs for each member, and no pair that could join two
-components is left out.
+documents of similarity 0.75 share MATCHES of these postings or more but for a
+chance under one in a million, so it is enough to meet in the prefix: the postings
+of each document that are rarest in the corpus, all but MATCHES - 1 of those that
+any other document shares. Postings that one document alone has are skipped before
+anything meets.
+
+Copies of one word sequence are one node from the start. Then
+
+1. each posting list's least member meets all others of the list, and pairs that
+   collide in MATCHES coordinates are confirmed on their full shingle sets; members
+   found linked are one component, so that a list of near copies is nearly joined
+   at a cost linear in its length;
+2. lists that still hold several components are merged inside tasks. A member
+   travels once to its list, with its signature; collisions are counted there for
+   all pairs of the list, but a pair counts only in the longest list that both
+   prefixes share, and only across components. Members of a pair above the
+   threshold send their texts to the same place, where the full shingle sets of all
+   are intersected at once and a spanning forest of the links comes out. No row is
+   made for a pair. A list of more than CELL members, or MASS shingles, is cut into
+   blocks that meet two by two.
+
+Step 2 loses no pair: its cost for a list of m members that truly stay apart is
+m * m / CELL rows sent and m * m comparisons inside tasks.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is
 linked with nothing; a null doc_id is linked with nothing, and its component_id is
@@ -31,15 +39,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import cut, text_of
+from meshwright.llm.common import cut, spread_of, text_of
 
 SHINGLE, PERCENT = 5, 75
-COORDINATES, MATCHES = 48, 20
-SHORT_LIST, HUBS = 96, 16
-A_CELL, B_CELL, PAIRS_A_TASK = 256, 256, 20_000
+COORDINATES, MATCHES = 32, 11
+#: Members and shingles of a block of a list; members that one task holds against a list's least one; numbers in a working matrix.
+CELL, MASS, STAR, ROOM = 2048, 1_000_000, 4096, 1 << 22
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(20_240_601)
 FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,69 +94,190 @@ def signature(s: np.ndarray) -> np.ndarray:
     for i in range(0, len(s), 2048):
         part = s[i : i + 2048, None] * FACTORS + TERMS
         low = np.minimum(low, (part ^ (part >> np.uint64(33))).min(0))
-    return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return low.view(np.int64)
+
+
+def name_of(own: list[bytes]) -> bytes:
+    """128 bits that name a word sequence."""
+    return hashlib.md5(b" ".join(own)).digest()
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, n, tid, sig): tid names the word sequence, null without words."""
+    """(doc_id, n, name, sig): name tells the word sequence, null without words."""
 
     def told(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in frames:
-            ids, n, tids, sigs = batch.column("doc_id"), [], [], []
+            n, names, sigs = [], [], []
             for t in batch.column("text"):
                 own = words(t.as_py())
                 s = shingles(own, memo)
                 n.append(len(s))
-                tids.append(int.from_bytes(hashlib.md5(b" ".join(own)).digest()[:8], "little", signed=True) if own else None)
-                sigs.append(signature(s) if own else np.zeros(0, np.int32))
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int32)
-            yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(tids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=["doc_id", "n", "tid", "sig"])
+                names.append(name_of(own) if own else None)
+                sigs.append(signature(s) if own else np.zeros(0, np.int64))
+            offsets = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
+            flat = pa.array(np.concatenate([*sigs, np.zeros(0, np.int64)]))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "n", "name", "sig"])
+
+    return rows_of(docs, key, text).mapInArrow(told, "doc_id bigint, n bigint, name binary, sig array<bigint>")
+
+
+def rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_of(f"`{text}`").alias("text"))
 
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_of(f"`{text}`").alias("text"))
-    return rows.mapInArrow(told, "doc_id bigint, n bigint, tid bigint, sig array<int>")
+
+def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 100 * common >= PERCENT * (a + b - common)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
+    """Of distinct pairs (a, b), those whose full shingle sets are similar enough.
 
-    Both sides are dealt to cells by hash, A_CELL by B_CELL texts of them at most on
-    average. A cell gets each of its texts once, however many pairs there name it.
+    The partners of one ``a`` are dealt over blocks of about STAR, each of which gets a's text once.
     """
-    total, na, nb = pairs.agg(F.count("*"), F.approx_count_distinct("a"), F.approx_count_distinct("b")).first()
-    place = [F.pmod(F.xxhash64(x), F.lit(1 + n // most)).alias(f"c{x}") for x, n, most in (("a", na, A_CELL), ("b", nb, B_CELL))]
-    placed = pairs.select("a", "b", *place)
-    ones = placed.select("ca", "cb", F.col("a").alias("tid")).distinct().withColumn("mates", F.lit(None).cast("array<bigint>"))
-    others = placed.groupBy("ca", "cb", F.col("b").alias("tid")).agg(F.collect_list("a").alias("mates"))
-    # Work follows the pairs, not the bytes, so the number of tasks is set by them.
-    tasks = min(1 + total // PAIRS_A_TASK, 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = ones.unionAll(others).join(texts, "tid").select("ca", "cb", "tid", "mates", "text")
-    rows = rows.repartition(tasks, "ca", "cb").sortWithinPartitions("ca", "cb", F.col("mates").isNotNull())
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks"))
+    partners = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("side"), F.col("b").alias("tid"))
+    centres = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), F.col("a").alias("tid"))
+    rows = partners.unionAll(centres).join(texts, "tid").repartition(spread_of(pairs), "a", "block").sortWithinPartitions("a", "block", "side")
 
     def told(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, cell, sets = WordHashes(), None, {}
+        memo, centre = WordHashes(), np.empty(0, np.uint64)
         for batch in frames:
-            a, b = [], []
-            columns = [batch.column(x).to_pylist() for x in ("ca", "cb", "tid", "mates")]
-            for ca, cb, tid, mates, text in zip(*columns, batch.column("text"), strict=True):
-                if (ca, cb) != cell:
-                    cell, sets = (ca, cb), {}
-                own = shingles(words(text.as_py()), memo)
-                if mates is None:
-                    sets[tid] = own
-                    continue
-                for mate in mates:
-                    held = sets[mate]
-                    common = len(np.intersect1d(own, held, assume_unique=True))
-                    if 100 * common >= PERCENT * (len(own) + len(held) - common):
-                        a.append(mate)
-                        b.append(tid)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            found: tuple[list[int], list[int]] = ([], [])
+            for a, side, tid, text in zip(*[batch.column(x).to_pylist() for x in ("a", "side", "tid", "text")], strict=True):
+                own = shingles(words(text), memo)
+                if side == 0:
+                    centre = own
+                elif similar(len(np.intersect1d(own, centre, assume_unique=True)), len(own), len(centre)):
+                    found[0].append(a)
+                    found[1].append(tid)
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
     return rows.mapInArrow(told, "a bigint, b bigint")
 
 
+def cells(frames: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple[int, int, int], list]]:
+    """From rows sorted by e, i, j: each (e, i, j) with the values of ``columns``, one list or array for each; a cell may cross batches."""
+    at, held = None, [[] for _ in columns]
+    for batch in frames:
+        if not batch.num_rows:
+            continue
+        group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in "eij"], 1)
+        values = [np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1) if c == "sig" else batch.column(c).to_pylist() for c in columns]
+        turns = np.flatnonzero(np.any(group[1:] != group[:-1], 1)) + 1
+        for a, b in zip([0, *turns], [*turns, len(group)], strict=True):
+            if at != (now := tuple(group[a].tolist())):
+                if at is not None:
+                    yield at, [np.concatenate(h) if c == "sig" else [x for p in h for x in p] for c, h in zip(columns, held, strict=True)]
+                at, held = now, [[] for _ in columns]
+            for h, v in zip(held, values, strict=True):
+                h.append(v[a:b])
+    if at is not None:
+        yield at, [np.concatenate(h) if c == "sig" else [x for p in h for x in p] for c, h in zip(columns, held, strict=True)]
+
+
+def sides(cell: tuple[int, int, int], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the members that a cell holds against each other: all against all in a block, else one block against another."""
+    _, i, j = cell
+    return np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+
+
+def numbered(values: list) -> np.ndarray:
+    names: dict = {}
+    return np.array([names.setdefault(v, len(names)) for v in values])
+
+
+def collide(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts collisions in each cell; gives the members that have a pair above the threshold to confirm there."""
+    out: list[list] = [[] for _ in range(6)]
+
+    def told() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        batch = pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["e", "i", "j", "block", "tid", "comp"])
+        for c in out:
+            c.clear()
+        return batch
+
+    for cell, (tid, comp, block, n, over, sig) in cells(frames, ["tid", "comp", "block", "n", "over", "sig"]):
+        own, n = numbered(comp), np.array(n)
+        longer = (np.array(over, np.int64)[:, None] >> np.arange(COORDINATES)) & 1 == 1
+        x, y = sides(cell, np.array(block))
+        wanted = np.zeros(len(tid), bool)
+        step = max(1, ROOM // max(1, COORDINATES * len(y)))
+        for k in range(0, len(x), step):
+            part = x[k : k + step]
+            same = sig[part][:, None] == sig[y][None]
+            pair = (same.sum(2, dtype=np.uint8) >= MATCHES) & (own[part][:, None] != own[y][None])
+            pair &= 100 * np.minimum(n[part][:, None], n[y][None]) >= PERCENT * np.maximum(n[part][:, None], n[y][None])
+            if pair.any():
+                same &= longer[part][:, None] & longer[y][None]
+                pair &= ~same.any(2)
+                wanted[part] |= pair.any(1)
+                wanted[y] |= pair.any(0)
+        for r in np.flatnonzero(wanted):
+            for c, v in zip(out, (*cell, block[r], tid[r], comp[r]), strict=True):
+                c.append(v)
+        if len(out[0]) > 10_000:
+            yield told()
+    yield told()
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set in ``a`` with each in ``b``, by products of 0/1 matrices over the values in both sides."""
+    flat = [np.concatenate([*s, np.empty(0, np.uint64)]) for s in (a, b)]
+    row = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (a, b)]
+    names = np.intersect1d(*flat)
+    out = np.zeros((len(a), len(b)), np.float32)
+    step = max(1, ROOM // max(1, len(a), len(b)))
+    for k in range(0, len(names), step):
+        some = names[k : k + step]
+        ones = []
+        for values, r, s in zip(flat, row, (a, b), strict=True):
+            place = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            hit = some[place] == values
+            m = np.zeros((len(s), len(some)), np.float32)
+            m[r[hit], place[hit]] = 1
+            ones.append(m)
+        out += ones[0] @ ones[1].T
+    return out.astype(np.int64)
+
+
+def forest(own: np.ndarray, x: np.ndarray, y: np.ndarray, linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links enough to join what ``linked``, x by y, joins of the components ``own``."""
+    root = np.arange(own.max() + 1 if len(own) else 0)
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for r, c in zip(*np.nonzero(linked), strict=True):
+        a, b = find(own[x[r]]), find(own[y[c]])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            yield x[r], y[c]
+
+
+def settle(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirms each cell's pairs across components on full shingle sets; a forest of the links comes out."""
+    memo = WordHashes()
+    found: tuple[list[int], list[int]] = ([], [])
+    for cell, (tid, comp, block, text) in cells(frames, ["tid", "comp", "block", "text"]):
+        own, sets = numbered(comp), [shingles(words(t), memo) for t in text]
+        x, y = sides(cell, np.array(block))
+        n = np.array([len(s) for s in sets], np.int64)
+        common = intersections([sets[k] for k in x], [sets[k] for k in y])
+        linked = similar(common, n[x][:, None], n[y][None]) & (own[x][:, None] != own[y][None])
+        for a, b in forest(own, x, y, linked):
+            found[0].append(tid[a])
+            found[1].append(tid[b])
+        if len(found[0]) > 10_000:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+            found = ([], [])
+    yield pa.record_batch([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(tid, comp): comp is the least tid that links reach; only linked nodes have rows."""
     edges = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -175,78 +304,87 @@ def grown(state: DataFrame, links: DataFrame) -> DataFrame:
     return cut(old.unionAll(new.join(state.select("tid"), "tid", "left_anti")), "state")
 
 
+def posted(reps: DataFrame) -> DataFrame:
+    """(e, tid, over): the posting lists of prefixes. ``over`` has a bit for each coordinate of the prefix whose list is longer."""
+    element = F.transform("sig", lambda v, i: F.struct(F.xxhash64(v, i).alias("e"), i.alias("k")))
+    all_ = reps.select("tid", F.explode(element).alias("p")).select("tid", "p.e", "p.k")
+    shared = all_.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    mine = all_.join(shared, "e").groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("df", "e", "k"))).alias("own"))
+    mine = mine.where(F.size("own") >= MATCHES).select("tid", F.slice("own", 1, F.size("own") - MATCHES + 1).alias("own"))
+
+    def bits(rest: Column) -> Column:
+        return F.aggregate(rest, F.lit(0).cast("long"), lambda acc, p: acc + F.call_function("shiftleft", F.lit(1).cast("long"), p["k"]))
+
+    entry = F.transform("own", lambda p, i: F.struct(p["e"].alias("e"), bits(F.slice("own", i + 2, F.size("own"))).alias("over")))
+    return mine.select("tid", F.explode(entry).alias("p")).select("p.e", "tid", "p.over")
+
+
 def linked(reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame | None:
-    """Components (tid, comp) of the confirmed links; None if there are no candidates. ``reps``: tid, doc_id, n, sig."""
-    element = F.explode(F.transform("sig", lambda v, i: F.xxhash64(v, i))).alias("e")
-    posted = reps.select("tid", element)
-    shared = posted.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
-    mine = posted.join(shared, "e").groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("own"))
-    prefix = F.slice("own", 1, F.size("own") - MATCHES + 1)  # postings of one document alone would come first
-    lists = cut(mine.where(F.size("own") >= MATCHES).select("tid", F.explode(prefix).alias("p")).select("tid", F.col("p.e").alias("e")), "lists")
+    """Components (tid, comp) of the confirmed links; None if there are no candidates. ``reps``: tid, name, doc_id, n, sig."""
+    lists = cut(posted(reps), "lists")
     if lists.isEmpty():
         return None
-    active = lists.select("tid").distinct()
-    sigs = cut(reps.join(active, "tid"), "sigs")
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_of(f"`{text}`").alias("text"))
-    # A doc_id may have rows of other texts; the sketch tells which row is meant.
-    wanted = sigs.select("tid", "doc_id")
-    texts = cut(true_texts(rows.join(wanted, "doc_id")), "texts")
+    active = cut(reps.join(lists.select("tid").distinct(), "tid"), "active")
+    # A doc_id may have rows of other texts; the name tells which row is meant.
+    texts = cut(true_texts(rows_of(docs, key, text).join(active.select("tid", "name", "doc_id"), "doc_id")), "texts")
+
+    # First each list's least member meets all others: one of them is enough to join a list of near copies.
+    least = lists.groupBy("e").agg(F.min("tid").alias("a"))
+    lists = cut(lists.join(least, "e").where("tid <> a"), "lists")
+    ends = [active.select(F.col("tid").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
+    met = lists.select("a", F.col("tid").alias("b")).distinct().join(ends[0], "a").join(ends[1], "b")
     alike = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    near = met.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).where(alike >= MATCHES)
+    state = components(confirm(cut(near.select("a", "b"), "pairs"), texts))
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        ends = [sigs.select(F.col("tid").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
-        near = pairs.join(ends[0], "a").join(ends[1], "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).where(alike >= MATCHES)
-        return cut(confirm(cut(near.select("a", "b"), "pairs"), texts), "links")
+    # Then lists of several components are merged in tasks.
+    lists = lists.select("e", "tid", "over").join(state, "tid", "left").select("e", "tid", "over", F.coalesce("comp", "tid").alias("comp"))
+    lists = cut(lists.join(active.select("tid", "n"), "tid"), "lists")
+    blocks = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / MASS)).cast("int")
+    open_ = lists.groupBy("e").agg(blocks.alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("e", "blocks")
+    own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = lists.join(open_, "e").withColumn("block", own).withColumn("other", other)
+    dealt = dealt.select("e", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tid", "comp", "over")
 
-    # First each list's least member meets all others: one of them is enough to join a list of near copies.
-    hubs = lists.groupBy("e").agg(F.min("tid").alias("a"))
-    state = components(tested(lists.join(hubs, "e").where("tid <> a").select("a", F.col("tid").alias("b")).distinct()))
-    lists = lists.join(hubs, "e").where("tid <> a").select("e", "tid")
-    turn = 0
-    while True:
-        lists = lists.select("e", "tid").join(state, "tid", "left").select("e", "tid", F.coalesce("comp", "tid").alias("comp"))
-        open_ = lists.groupBy("e").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("e", "m")
-        lists = cut(lists.join(open_, "e"), "lists")
-        if lists.isEmpty():
-            return state
-        # Short lists end here with all pairs across components; in long ones ever more members, drawn by hash, meet the rest.
-        drawn = F.pmod(F.xxhash64("tid", F.lit(turn)), F.lit(1 << 32)) * F.col("m") < F.lit(HUBS * 8**turn << 32)
-        meets = (F.col("m") <= SHORT_LIST) | drawn
-        marked = lists.withColumn("meets", meets)
-        one, other = marked.where("meets").alias("x"), marked.alias("y")
-        across = one.join(other, "e").where("x.comp <> y.comp AND (x.tid < y.tid OR NOT y.meets)")
-        # The drawn member is a, so that the fewer texts are a's.
-        state = grown(state, tested(across.select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct()))
-        lists = marked.where("NOT meets").select("e", "tid")
-        turn += 1
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition(spread_of(docs), "e", "i", "j").sortWithinPartitions("e", "i", "j")
+
+    met = together(dealt.join(active.select("tid", "n", "sig"), "tid")).mapInArrow(collide, "e bigint, i int, j int, block int, tid bigint, comp bigint")
+    return grown(state, together(cut(met, "met").join(texts, "tid")).mapInArrow(settle, "a bigint, b bigint"))
 
 
 def true_texts(rows: DataFrame) -> DataFrame:
-    """Of (doc_id, text, tid), one row for each tid, whose text has that tid."""
+    """Of (doc_id, text, tid, name), one row for each tid, whose text has that name."""
 
     def told(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            keep = [int.from_bytes(hashlib.md5(b" ".join(words(t.as_py()))).digest()[:8], "little", signed=True) == i for t, i in zip(batch.column("text"), batch.column("tid").to_pylist(), strict=True)]
+            keep = [name_of(words(t.as_py())) == i for t, i in zip(batch.column("text"), batch.column("name").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("text")], names=["tid", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    own = rows.select("tid", "text").mapInArrow(told, "tid bigint, text string")
+    own = rows.select("tid", "name", "text").mapInArrow(told, "tid bigint, text string")
     return own.groupBy("tid").agg(F.min("text").alias("text"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     seen = cut(sketch(docs, key, text), "sketch")
-    named = seen.where(F.col("doc_id").isNotNull() & F.col("tid").isNotNull())
-    reps = cut(named.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
+    named = seen.where(F.col("doc_id").isNotNull() & F.col("name").isNotNull())
+    reps = named.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = cut(reps.withColumn("tid", F.monotonically_increasing_id()), "reps")  # fixed once written
     state = linked(reps, docs, key, text)
     # A doc_id with several texts ties them together.
-    several = named.groupBy("doc_id").agg(F.min("tid").alias("a"), F.max("tid").alias("z")).where("a <> z").select("doc_id", "a")
-    tied = named.select("doc_id", "tid").join(several, "doc_id").where("tid <> a").select("a", F.col("tid").alias("b"))
+    held = named.select("doc_id", "name").distinct()
+    several = held.groupBy("doc_id").agg(F.min("name").alias("least"), F.count("*").alias("names")).where("names > 1").select("doc_id", "least")
+    tied = held.join(several, "doc_id").where("name <> least")
+    for x, name in (("a", "least"), ("b", "name")):
+        tied = tied.join(reps.select(F.col("name").alias(name), F.col("tid").alias(x)), name)
+    tied = tied.select("a", "b")
     comp = components(tied) if state is None else grown(state, tied)
-    label = reps.select("tid", "doc_id").join(comp, "tid", "left").select("tid", F.coalesce("comp", "tid").alias("comp"), "doc_id")
+    label = reps.select("tid", "name", "doc_id").join(comp, "tid", "left").select("name", F.coalesce("comp", "tid").alias("comp"), "doc_id")
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    label = label.select("tid", "comp").join(least, "comp").select("tid", "component_id")
-    out = seen.select("doc_id", "n", "tid").join(label, "tid", "left")
+    label = label.select("name", "comp").join(least, "comp").select("name", "component_id")
+    out = seen.select("doc_id", "n", "name").join(label, "name", "left")
     name = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(F.col("doc_id") == name, F.lit(True)).alias("kept"))
 
