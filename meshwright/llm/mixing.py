@@ -9,13 +9,16 @@ epoch after epoch; inverting the demand at a copy's middle word gives its
 position in training, and the mix is range-sorted by position.
 
 A source is never walked in one task: words are summed by (source, hash bucket),
-running totals are taken over buckets, then inside each bucket.
+running totals are taken over buckets, then inside each bucket. Rows are placed
+without their texts: equal rows are one slim row with a count, told by 128 bits of
+hash over all columns, and the texts join the placed rows once, on their way to the
+range sort.
 
 Defined cases: a null or empty text has no words, is taken 0 times and has no
 position; a null source is a source of its own, last in order; repeated rows are
-documents of their own (equal rows may swap their equal places); an empty table
-gives an empty mix. At most one copy in a source is taken in part, where the
-demand ends.
+documents of their own, placed one behind the other; an empty table gives an empty
+mix; other columns, whatever their names, travel along. At most one copy in a source
+is taken in part, where the demand ends.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import WORD, cut, text_of
+from meshwright.llm.common import WORD, cut, quoted, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -77,36 +80,52 @@ def size_of(text: str | Column) -> Column:
     return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
-def place(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, budget: float = 1.0, max_epochs: int = MAX_EPOCHS, text: str = "text", source: str = "source", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` with a struct __m: size, source_size, target, taken and visits (epoch, words, position)."""
-    keep = [key] if keep is None else keep
-    named = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(keep)]
-    rows = docs.select(*named, F.col(f"`{source}`").alias("source"), F.col(f"`{key}`").alias("key"), size_of(f"`{text}`").alias("size"))
-    rows = cut(rows.withColumn("mixed", F.xxhash64(F.col("key").cast("string"), "size", "source", F.lit("mix"))), "mix")
+def same_source(a: str, b: str) -> Column:
+    """An equi-join on a source that may be null."""
+    return (F.coalesce(F.col(f"{a}.source"), F.lit("")) == F.coalesce(F.col(f"{b}.source"), F.lit(""))) & (F.isnull(f"{a}.source") == F.isnull(f"{b}.source"))
+
+
+def placed(rows: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, budget: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``rows``, distinct (id, key, source, size, copies), each with source_size, target and, for each of its copies, taken and visits (epoch, words, position)."""
+    rows = cut(rows.withColumn("mixed", F.xxhash64(F.col("key").cast("string"), "size", "source", F.lit("mix"))).withColumn("words", F.col("size") * F.col("copies")), "mix")
     count = rows.count()
     buckets = 2 ** min(int(math.log2(MOST_BUCKETS)), max(int(math.log2(LEAST_BUCKETS)), math.ceil(math.log2(max(1, count / ROWS_PER_BUCKET)))))
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("mixed", 20), F.lit(buckets)))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    sums = rows.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    shares = targets(rows, weights, budget, max_epochs)
+    shares = targets(rows.select("source", F.col("words").alias("size")), weights, budget, max_epochs)
     sums = sums.alias("a").join(shares.alias("b"), F.expr("a.source <=> b.source")).select("a.source", "bucket", "before", "source_size", "target", "kind")
-    rows = rows.alias("a").join(sums.alias("b"), F.expr("coalesce(a.source, '') = coalesce(b.source, '') AND (a.source IS NULL) = (b.source IS NULL) AND a.bucket = b.bucket")).select("a.*", "before", "source_size", "target", "kind")
-    inside = Window.partitionBy(F.coalesce("source", F.lit("")), F.isnull("source"), "bucket").orderBy("mixed", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    rows = rows.withColumn("start", start).withColumn("demand", F.floor(F.col("target") + 1e-6))
-    epochs = F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: F.struct(e.alias("epoch"), F.greatest(F.lit(0), F.least(F.col("size"), F.col("demand") - (F.col("start") + e * F.col("source_size")))).cast("long").alias("words")))
-    rows = rows.withColumn("copies", F.filter(epochs, lambda v: v["words"] > 0))
+    rows = rows.alias("a").join(sums.alias("b"), same_source("a", "b") & (F.col("a.bucket") == F.col("b.bucket"))).select("a.*", "before", "source_size", "target", "kind")
+    inside = Window.partitionBy(F.coalesce("source", F.lit("")), F.isnull("source"), "bucket").orderBy("mixed", "key", "size", "id").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum("words").over(inside), F.lit(0))
+    rows = rows.withColumn("first", first).withColumn("demand", F.floor(F.col("target") + 1e-6))
+
+    def visits(copy: Column) -> Column:
+        start = F.col("first") + copy * F.col("size")
+
+        def visit(e: Column) -> Column:
+            behind = start + e * F.col("source_size")
+            words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("demand") - behind)).cast("long")
+            share = (behind + words / 2) / F.greatest("target", F.lit(1e-12))
+            at: Column = F.lit(None).cast("double")
+            for k, knots in enumerate(schedules):
+                at = F.when(F.col("kind") % len(schedules) == k, invert(share, knots)).otherwise(at)
+            return F.struct(e.alias("epoch"), words.alias("words"), at.alias("position"))
 
-    def visit(v: Column) -> Column:
-        share = (F.col("start") + v["epoch"] * F.col("source_size") + v["words"] / 2) / F.col("target")
-        at: Column = F.lit(None).cast("double")
-        for k, knots in enumerate(schedules):
-            at = F.when(F.col("kind") % len(schedules) == k, invert(share, knots)).otherwise(at)
-        return F.struct(v["epoch"].alias("epoch"), v["words"].alias("words"), at.alias("position"))
+        return F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), visit), lambda v: v["words"] > 0)
 
-    visits = F.transform("copies", visit)
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda acc, v: acc + v["words"])
-    return rows.withColumn("__m", F.struct("size", "source_size", "target", taken.alias("taken"), visits.alias("visits"))).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(keep)], "__m")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("visits", visits(F.col("copy")))
+    taken = F.aggregate("visits", F.lit(0).cast("long"), lambda acc, v: acc + v["words"])
+    return rows.select("id", "key", "source", "size", "source_size", "target", taken.alias("taken"), "visits")
+
+
+def place(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """(key, source, size, source_size, target, taken, visits), one row for each row of ``docs``."""
+    k = F.col(quoted([key])[0])
+    rows = docs.select(k.alias("key"), F.col(quoted([source])[0]).alias("source"), size_of(quoted([text])[0]).alias("size"))
+    rows = rows.groupBy("key", "source", "size").agg(F.count("*").alias("copies"))
+    out = placed(rows.withColumn("id", F.lit(0)), **options)
+    return out.select("key", "source", "size", "source_size", "target", "taken", "visits")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -114,11 +133,28 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), 1, n.cast("int")), "")
 
 
+def identity(docs: DataFrame) -> Column:
+    """128 bits that tell rows apart by all their columns."""
+    parts = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, (_, kind) in zip(quoted(docs.columns), docs.dtypes, strict=True)]
+    nulls = [F.isnull(c) for c in quoted(docs.columns)]  # a hash passes over nulls
+    return F.struct(F.xxhash64(F.lit(1), *parts, *nulls).alias("a"), F.xxhash64(F.lit(2), *nulls, *parts).alias("b"))
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The training mix: the columns of ``docs``, one row for each copy taken, in training order."""
-    columns = docs.columns
-    placed = place(docs, text=text, source=source, key=key, keep=columns, **options)
-    rows = placed.select(*[f"`{c}`" for c in columns], F.col("__m.size").alias("__size"), F.explode("__m.visits").alias("__v"))
-    whole = F.col("__v.words") >= F.col("__size")
-    rows = rows.withColumn(text, F.when(whole, F.col(f"`{text}`")).otherwise(first_words(text_of(f"`{text}`"), F.col("__v.words"))))
-    return rows.orderBy("__v.position", "__v.epoch").select(*[f"`{c}`" for c in columns])
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(quoted(docs.columns))])
+    told = docs.select(identity(docs).alias("id"), F.col(quoted([key])[0]).alias("key"), F.col(quoted([source])[0]).alias("source"), F.col(quoted([text])[0]).alias("text"), row.alias("row"))
+    slim = told.groupBy("id", "key", "source", size_of("text").alias("size")).agg(F.count("*").alias("copies"))
+    visits = placed(slim, **options).select("id", "size", F.explode("visits").alias("v"))
+    # Equal rows are one before the shuffle; each text goes to its visits, then to its place.
+    held = told.groupBy("id").agg(F.first("row").alias("row"))
+    rows = held.join(visits, "id").select("row", "size", "v.words", "v.position", "v.epoch")
+
+    def column(i: int, name: str) -> Column:
+        c = F.col(f"row.c{i}")
+        if name.lower() == text.lower():
+            c = F.when(F.col("words") >= F.col("size"), c).otherwise(first_words(text_of(c), F.col("words")))
+        return c.alias(f"c{i}")
+
+    rows = rows.select("position", "epoch", *[column(i, c) for i, c in enumerate(docs.columns)]).orderBy("position", "epoch")
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

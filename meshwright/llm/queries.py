@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.place(table(spark, sf_dir, "documents"))
-    rows = placed.select("doc_id", "__m.size", "__m.source_size", "__m.target", "__m.taken", F.get("__m.visits.position", F.lit(0)).alias("position"))
+    rows = placed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", F.get("visits.position", F.lit(0)).alias("position"))
     # Documents without a place follow the mix, spread by hash so that they don't meet in one task.
     rest = 1 + F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     return rows.orderBy(F.coalesce("position", rest))
