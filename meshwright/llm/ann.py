@@ -7,17 +7,18 @@ its own first, then perturbed ones in the order of their estimated success
 (smallest summed squared distance to the crossed boundaries). Candidates of all
 tables are merged and reranked by exact Euclidean distance.
 
-Vectors and probes meet by (table, bucket, block). A bucket's vectors are dealt
+Vectors and probes meet by (table, bucket, block); a probe is an id until its bucket's blocks are known, and
+no side is broadcast. A bucket's vectors are dealt
 over blocks of about BLOCK rows, counted beforehand, so that a large bucket is
 spread over tasks and none is capped; a probe goes to every block of its bucket.
-Each task keeps the ``k`` nearest of each query that it meets.
+Each task keeps the ``k`` nearest of each query that it meets, for HELD queries at a time.
 
 A query that met fewer than ``k`` candidates, or whose buckets hold a vector at
 the distance of its k-th candidate with a probability under SURE, is then held
 against all vectors, which are dealt over blocks of about EXACT rows.
 
-Defined cases: vectors that are null, zero, of another length than the first
-query's, or hold null or non-finite components take no part, as rows or as
+Defined cases: vectors that are null, zero, of another length than the
+most frequent one (of equals the shorter), or hold null or non-finite components take no part, as rows or as
 queries; a null id takes no part; repeated rows with one id are one candidate; a
 query with fewer than ``k`` candidates in the table gets them all.
 """
@@ -33,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import cut
+from meshwright.llm.common import cut, spread_of
 
 TABLES, HASHES, WIDTH, PROBES = 2, 8, 0.4, 224
 BLOCK = 128
-SPREAD, SURE, EXACT = 0.125, 0.9, 1024
+SPREAD, SURE, EXACT, HELD = 0.125, 0.9, 1024, 20_000
 
 
 class Family:
@@ -103,13 +104,13 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vecto
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(sound & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     empty = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    first = rows.where("asks").select(F.size("v").alias("n"), "v").orderBy("n").first()
-    if first is None:
+    first = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.max("asks").alias("asks")).orderBy(F.desc("rows"), "n").first()
+    if first is None or not first["asks"]:
         return empty
     dim = first["n"]
     rows = rows.where(F.size("v") == dim)
     kind = dict(rows.dtypes)["v"]
-    width *= scale_of(rows, np.array(first["v"], np.float64), Family(dim, seed, tables, hashes))
+    width *= scale_of(rows, np.array(rows.first()["v"], np.float64), Family(dim, seed, tables, hashes))
 
     def places(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family(dim, seed, tables, hashes, width)
@@ -135,15 +136,16 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vecto
                         for f, d in s:
                             moved[j, f] += d
                     keys = np.unique(family.keys(moved, t))
-                    yield pa.record_batch([pa.array(np.full(len(keys), batch.column("id")[i].as_py(), np.int64)), batch.column("v").take(pa.array(np.full(len(keys), i))), pa.array(keys)], names=["id", "v", "bucket"])
+                    yield pa.record_batch([pa.array(np.full(len(keys), batch.column("id")[i].as_py(), np.int64)), pa.array(keys)], names=["id", "bucket"])
 
-    schema = f"id bigint, v {kind}, bucket bigint"
-    posted = cut(rows.select("id", "v").mapInArrow(places, schema), "ann")
+    posted = cut(rows.select("id", "v").mapInArrow(places, f"id bigint, v {kind}, bucket bigint"), "ann")
     counts = posted.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    stored = posted.join(counts, "bucket").select("bucket", block.alias("block"), F.lit(1).alias("side"), "id", "v")
-    asked = rows.where("asks").select("id", "v").repartition(spread_of(vectors), "id").mapInArrow(visits, schema)
-    asked = asked.join(counts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "id", "v")
+    stored = posted.join(counts.hint("merge"), "bucket").select("bucket", block.alias("block"), F.lit(1).alias("side"), "id", "v")
+    queries = rows.where("asks").select("id", "v")
+    asked = queries.repartition(spread_of(vectors), "id").mapInArrow(visits, "id bigint, bucket bigint")
+    asked = asked.join(counts.hint("merge"), "bucket").select("id", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asked = asked.join(queries.hint("merge"), "id").select("bucket", "block", F.lit(0).alias("side"), "id", "v")
     met = asked.unionAll(stored).repartition(spread_of(vectors), "bucket", "block").sortWithinPartitions("bucket", "block", "side")
 
     def nearest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +170,13 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vecto
                 if len(mine) > 4 * k:
                     best[int(own[i])] = dict(sorted(mine.items(), key=lambda e: (e[1], e[0]))[:k])
 
+        def told() -> Iterator[pa.RecordBatch]:
+            out = [(q, n, d) for q, mine in best.items() for n, d in sorted(mine.items(), key=lambda e: (e[1], e[0]))[:k]]
+            best.clear()
+            for i in range(0, len(out), 10_000):
+                part = out[i : i + 10_000]
+                yield pa.record_batch([pa.array([r[c] for r in part], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
         for batch in frames:
             if not batch.num_rows:
                 continue
@@ -177,6 +186,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vecto
             for a, b in zip([0, *turns], [*turns, len(id_)], strict=True):
                 if at != tuple(group[a]):
                     rank()
+                    if len(best) > HELD:
+                        yield from told()
                     at, ids, held, rest = tuple(group[a]), [], [], []
                 asks = side[a:b] == 0
                 if asks.any():
@@ -185,10 +196,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vecto
                 if not asks.all():
                     rest.append((id_[a:b][~asks], x[a:b][~asks]))
         rank()
-        out = [(q, n, d) for q, mine in best.items() for n, d in sorted(mine.items(), key=lambda e: (e[1], e[0]))[:k]]
-        for i in range(0, len(out), 10_000):
-            part = out[i : i + 10_000]
-            yield pa.record_batch([pa.array([r[c] for r in part], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+        yield from told()
 
     def ranked(met: DataFrame) -> DataFrame:
         found = met.mapInArrow(nearest, "query_id bigint, vec_id bigint, score double")
@@ -239,7 +247,3 @@ def scale_of(rows: DataFrame, middle: np.ndarray, family: Family) -> float:
     variance = sum(r["q"] / r["n"] - (r["s"] / r["n"]) ** 2 for r in per) / len(per)
     scale = math.sqrt(max(variance, 0)) / SPREAD
     return float(f"{scale:.1e}") if 0 < scale < math.inf else 1.0
-
-
-def spread_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
