@@ -6,7 +6,7 @@ among those in it. Only suffixes at anchors are indexed, about one byte in 18.
 
 1. Each anchor is posted under its gram with hashes of its whole context, all the
    bytes that a string of LENGTH bytes around it can reach. Anchors whose whole
-   context stands in a smaller document are settled by the hashes alone; each map
+   context stands in a smaller document are settled by 96 bits of hash; each map
    task settles its own first and ships one record for a context, so that a
    passage that a third of the corpus shares stays small.
 2. Anchors that share a gram, and enough on one side, but not the whole context
@@ -14,11 +14,15 @@ among those in it. Only suffixes at anchors are indexed, about one byte in 18.
    suffixes of the contexts are sorted, neighbours' common prefixes are
    stack-scanned into an interval tree, and an interval of LENGTH bytes or more
    whose members differ in the byte before (left-diverse) is a maximal repeat with
-   all its occurrences; those outside its least document are covered. Grams with
-   more than LARGE contexts take the same decision from their LENGTH-byte strings
-   grouped one by one, which deals them over tasks.
+   all its occurrences; those outside its least document are covered. A gram with
+   more than SPLIT contexts is split by more bytes: a string of LENGTH bytes has the
+   gram at a place STEP * i + 0 to STEP - 1, and so holds one of a few longer strings
+   around it; contexts meet by each of those that they have, and the same scan runs.
 3. Covered stretches of a document are merged and cut from its bytes.
 
+Unlike contexts that share all but STEP bytes of a string of LENGTH meet in one task;
+its suffixes are sorted for one leading byte at a time.
+
 Defined cases: a null text is empty; a text under LENGTH bytes loses nothing; a
 null doc_id neither loses bytes nor makes others lose them; rows of one doc_id
 don't act on each other, whatever their texts; other columns are ignored.
@@ -32,23 +36,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.ann import spread_of
-from meshwright.llm.common import cut, text_of
+from meshwright.llm.common import cut, spread_of, text_of
 from meshwright.llm.minhash import mixed
 
 LENGTH, GRAM = 50, 16
 SIDE = LENGTH - GRAM
 HALF = SIDE // 2
-LARGE = 2000
+SPLIT, STEP = 10_000, 4
 FLUSH = 2 << 20
-BUCKETS_PER_PARTITION = 4
+BUCKET, PARTITION = 2 << 20, 16 << 20
 _rng = np.random.default_rng(97)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
-CHUNK = 1 << 18
+CHUNK, PARTS = 1 << 18, 1 << 17
 SMALL = np.uint64((1 << 48) - 1)
 
 
@@ -96,25 +99,33 @@ def anchors(b: bytes, powers: Powers):
 COLUMNS = ("kh", "ch", "doc", "tag", "pos", "left", "right", "lh", "rh")
 
 
-def pack(c: dict[str, np.ndarray]) -> bytes:
-    """Columns of records in order of doc and pos: hashes as they are, the rest as compressed differences."""
+def width(buckets: int) -> int:
+    """Bytes of a gram hash of 48 bits whose remainder by the number of buckets is known."""
+    return -(-(int(SMALL) // buckets).bit_length() // 8)
+
+
+def pack(c: dict[str, np.ndarray], buckets: int) -> bytes:
+    """Columns of one bucket's records in order of doc and pos: hashes as they are, the rest as compressed differences."""
     order = np.lexsort((c["pos"], c["doc"]))
     c = {k: v[order] for k, v in c.items()}
-    raw = b"".join(np.ascontiguousarray(c[k]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for k in ("kh", "ch")) + c["lh"].tobytes() + c["rh"].tobytes()
+    hashes = ((c["kh"] // np.uint64(buckets), width(buckets)), (c["ch"], 6))
+    raw = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :w].tobytes() for x, w in hashes) + c["lh"].tobytes() + c["rh"].tobytes()
     doc = np.diff(c["doc"], prepend=0).astype("<i8")
     rest = zlib.compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(doc), -1).T).tobytes() for x in (doc, c["tag"].astype("<i4"), c["pos"].astype("<i4"))) + c["left"].astype(np.uint8).tobytes() + c["right"].astype(np.uint8).tobytes(), 1)
     return len(order).to_bytes(4, "little") + raw + rest
 
 
-def unpack(b: bytes) -> dict[str, np.ndarray]:
-    n = int.from_bytes(b[:4], "little")
+def unpack(b: bytes, bucket: int, buckets: int) -> dict[str, np.ndarray]:
+    n, at = int.from_bytes(b[:4], "little"), 4
     out = {}
-    for i, k in enumerate(("kh", "ch")):
+    for k, w in (("kh", width(buckets)), ("ch", 6)):
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b, np.uint8, 6 * n, 4 + 6 * n * i).reshape(n, 6)
+        wide[:, :w] = np.frombuffer(b, np.uint8, w * n, at).reshape(n, w)
         out[k] = wide.reshape(-1).view(np.uint64)
-    out["lh"], out["rh"] = np.frombuffer(b, np.uint8, n, 4 + 12 * n), np.frombuffer(b, np.uint8, n, 4 + 13 * n)
-    rest = np.frombuffer(zlib.decompress(b[4 + 14 * n :]), np.uint8)
+        at += w * n
+    out["kh"] = out["kh"] * np.uint64(buckets) + np.uint64(bucket)
+    out["lh"], out["rh"] = np.frombuffer(b, np.uint8, n, at), np.frombuffer(b, np.uint8, n, at + n)
+    rest = np.frombuffer(zlib.decompress(b[at + 2 * n :]), np.uint8)
     at = 0
     for k, size in (("doc", 8), ("tag", 4), ("pos", 4)):
         out[k] = np.ascontiguousarray(rest[at : at + size * n].reshape(size, n).T).reshape(-1).view(f"<i{size}")
@@ -173,7 +184,7 @@ def post(buckets: int):
             edges = np.flatnonzero(np.diff(b[stay])) + 1
             for own in np.split(stay, edges):
                 if len(own):
-                    rows.append((int(b[own[0]]), 0, pack({k: v[own] for k, v in c.items()})))
+                    rows.append((int(b[own[0]]), 0, pack({k: v[own] for k, v in c.items()}, buckets)))
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
         for batch in frames:
@@ -207,14 +218,14 @@ def rows_of(what: int, doc, tag, a, b, kh=None, left=None) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(tag, np.int32)), pa.array(np.full(n, what, np.int32)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(kh, np.int64)), pa.array(np.asarray(left, np.int32))], names=["doc_id", "tag", "what", "a", "b", "kh", "left"])
 
 
-def meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def meet(frames: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Reduce task, bucket by bucket: covered stretches (what 0) and anchors whose contexts must be compared (what 1)."""
-    at, blobs = None, []
+    at, blobs = 0, []
 
     def done() -> Iterator[pa.RecordBatch]:
         if not blobs:
             return
-        many = [unpack(b) for b in blobs]
+        many = [unpack(b, at, buckets) for b in blobs]
         gone, c = settle({k: np.concatenate([m[k] for m in many]) for k in COLUMNS})
         if gone.any():
             yield rows_of(0, c["doc"][gone], c["tag"][gone], c["pos"][gone].astype(np.int64) - c["left"][gone], c["pos"][gone].astype(np.int64) + c["right"][gone])
@@ -255,15 +266,23 @@ def common(a: bytes, b: bytes) -> int:
     return n - (unlike.bit_length() + 7) // 8
 
 
-def maximal_repeats(texts: list[bytes], least: int = LENGTH) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, occurrences (text, place)) of each maximal repeat of ``least`` bytes or more.
+def maximal_repeats(texts: list[bytes], least: int = LENGTH, starts: list[range] | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, occurrences (text, place)) of each maximal repeat of ``least`` bytes or more among the suffixes (all, or those at ``starts``).
 
     An enhanced suffix array of the texts' suffixes: sorted suffixes, common prefixes of neighbours, and a stack
     scan of the common-prefix interval tree, in which an interval closes when a lower common prefix comes. Of its
     members the bytes before are compared; an interval whose members all have the same one is no maximal repeat.
     A suffix at a text's start has no byte before and differs from any.
     """
-    suffixes = sorted((t[s:], i, s) for i, t in enumerate(texts) for s in range(len(t) - least + 1))
+    starts = [range(len(t) - least + 1) for t in texts] if starts is None else starts
+    # No common prefix crosses leading bytes, so many suffixes are sorted in parts.
+    many = sum(map(len, starts)) > PARTS
+    for lead in sorted({t[s] for t, own in zip(texts, starts, strict=True) for s in own}) if many else [None]:
+        yield from intervals(sorted((t[s:], i, s) for i, (t, own) in enumerate(zip(texts, starts, strict=True)) for s in own if lead is None or t[s] == lead), texts, least)
+
+
+def intervals(suffixes: list[tuple[bytes, int, int]], texts: list[bytes], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """The stack scan over sorted suffixes."""
     before = [texts[i][s - 1] if s else -1 - i for _, i, s in suffixes]
     stack: list[tuple[int, int]] = []  # (common prefix, first member)
     for r in range(1, len(suffixes) + 1):
@@ -279,14 +298,14 @@ def maximal_repeats(texts: list[bytes], least: int = LENGTH) -> Iterator[tuple[i
 
 
 def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by gram: stretches that the maximal repeats of each gram's contexts cover."""
+    """Contexts sorted by key: stretches that the maximal repeats of each key's contexts cover."""
     at, group = None, []
     out: list[tuple[int, int, int, int]] = []
 
     def done() -> None:
         if len(group) < 2:
             return
-        n = len(group)
+        n, part = len(group), at[1]
         reach: list[list[int]] = []
         for side in (lambda g: g[4][g[3] :], lambda g: g[4][: g[3]][::-1]):  # right of the anchor's start; left of it, backward
             keyed = sorted((side(g), i) for i, g in enumerate(group))
@@ -296,16 +315,24 @@ def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 best[i], best[j] = max(best[i], c), max(best[j], c)
             reach.append(best)
         # No other context agrees with one beyond its reach, so that only the stretch within it is indexed.
-        near = [(doc, tag, start + left - lt, text[left - lt : left + rt]) for (doc, tag, start, left, text), rt, lt in zip(group, *reach, strict=True) if rt + lt >= LENGTH]
+        near = [(doc, tag, start + left - lt, text[left - lt : left + rt], lt) for (doc, tag, start, left, text), rt, lt in zip(group, *reach, strict=True) if rt + lt >= LENGTH]
         if len({g[0] for g in near}) < 2:
             return
         texts = [g[3] for g in near]
-        for length, places in maximal_repeats(texts):
-            least = min(near[i][0] for i, _ in places)
-            for i, s in places:
-                doc, tag, start = near[i][:3]
-                if doc > least:
-                    out.append((doc, tag, start + s, start + s + length))
+        # Of a split gram, each key answers for the strings that have the gram at its STEP places.
+        starts = None if part < 0 else [range(max(0, g[4] - part - STEP + 1), min(g[4] - part, len(g[3]) - LENGTH) + 1) for g in near]
+        cover = np.zeros((len(near), 2 * LENGTH), np.int32)
+        docs = np.array([g[0] for g in near])
+        for length, places in maximal_repeats(texts, LENGTH, starts):
+            i, s = np.array(places).T
+            later = docs[i] > docs[i].min()
+            np.add.at(cover, (i[later], s[later]), 1)
+            np.add.at(cover, (i[later], s[later] + length), -1)
+        inside = np.cumsum(cover, 1) > 0
+        edge = np.diff(inside.astype(np.int8), axis=1, prepend=0, append=0)
+        for (i, s), (_, e) in zip(np.argwhere(edge == 1).tolist(), np.argwhere(edge == -1).tolist(), strict=True):
+            doc, tag, start = near[i][:3]
+            out.append((doc, tag, start + s, start + e))
 
     def told() -> pa.RecordBatch:
         cols = list(zip(*out, strict=True))
@@ -313,13 +340,13 @@ def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rows_of(0, *cols)
 
     for batch in frames:
-        for kh, doc, tag, start, left, text in zip(*[batch.column(k).to_pylist() for k in ("kh", "doc_id", "tag", "start", "left", "context")], strict=True):
-            if kh != at:
+        for kh, part, doc, tag, start, left, text in zip(*[batch.column(k).to_pylist() for k in ("kh", "part", "doc_id", "tag", "start", "left", "context")], strict=True):
+            if (kh, part) != at:
                 done()
-                at, group = kh, []
+                at, group = (kh, part), []
+                if len(out) > 10_000:
+                    yield told()
             group.append((doc, tag, start, left, text))
-        if len(out) > 10_000:
-            yield told()
     done()
     if out:
         yield told()
@@ -354,24 +381,34 @@ def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def covered(rows: DataFrame) -> DataFrame:
     """(doc_id, tag, a, b): stretches of bytes to remove. ``rows``: doc_id, tag, text."""
-    parts = spread_of(rows)
     named = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", "tag", "text")
-    posted = named.mapInArrow(post(parts * BUCKETS_PER_PARTITION), "bucket int, kind int, blob binary")
-    found = cut(posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, FOUND), "anchors")
-    asked = found.where("what = 1").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b", "kh", "left")).alias("asked"))
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(spread_of(rows), -(-size // PARTITION))
+    buckets = max(parts, -(-size // BUCKET))
+    posted = named.mapInArrow(post(buckets), "bucket int, kind int, blob binary")
+    found = cut(posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda frames: meet(frames, buckets), FOUND), "anchors")
+    unlike = found.where("what = 1")
+    crowded = unlike.groupBy("kh").count().where(F.col("count") > SPLIT).select("kh", F.lit(True).alias("crowded"))
+    asked = unlike.join(crowded, "kh", "left").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b", "kh", "left", "crowded")).alias("asked"))
     raw = F.encode("text", "UTF-8")
     held = named.join(asked, ["doc_id", "tag"]).select("doc_id", "tag", raw.alias("raw"), F.explode("asked").alias("q"))
-    held = held.select(F.col("q.kh").alias("kh"), "doc_id", "tag", F.col("q.a").alias("start"), F.col("q.left").alias("left"), F.substring("raw", (F.col("q.a") + 1).cast("int"), (F.col("q.b") - F.col("q.a")).cast("int")).alias("context"))
-    held = cut(held, "contexts")
-    large = held.groupBy("kh").count().where(F.col("count") > LARGE).select("kh")
-    few = held.join(large, "kh", "left_anti")
-    repeats = few.repartition(parts, "kh").sortWithinPartitions("kh").mapInArrow(compare, FOUND)
-    many = held.join(large, "kh", "left_semi").withColumn("o", F.explode(F.sequence(F.lit(0), F.length("context") - LENGTH)))
-    many = many.select("doc_id", "tag", (F.col("start") + F.col("o")).alias("a"), F.substring("context", F.col("o") + 1, F.lit(LENGTH)).alias("w"))
-    first = many.groupBy("w").agg(F.min("doc_id").alias("least"))
-    strings = many.join(first, "w").where("doc_id > least").select("doc_id", "tag", "a", (F.col("a") + LENGTH).alias("b"))
+    held = held.select("q.kh", "q.crowded", "doc_id", "tag", F.col("q.a").alias("start"), "q.left", F.substring("raw", (F.col("q.a") + 1).cast("int"), (F.col("q.b") - F.col("q.a")).cast("int")).alias("context"))
+    whole = F.array(F.struct("kh", F.lit(-1).alias("part")))
+    held = held.withColumn("key", F.explode(F.when(F.col("crowded"), longer_keys()).otherwise(whole))).select("key.*", "doc_id", "tag", "start", "left", "context")
+    repeats = held.repartition(parts, "kh", "part").sortWithinPartitions("kh", "part").mapInArrow(compare, FOUND)
     columns = ["doc_id", "tag", "a", "b"]
-    return found.where("what = 0").select(*columns).unionAll(repeats.select(*columns)).unionAll(strings)
+    return found.where("what = 0").select(*columns).unionAll(repeats.select(*columns))
+
+
+def longer_keys() -> Column:
+    """Of a context, (hash, place) of the strings around its gram one of which any string of LENGTH bytes through the gram holds."""
+    keys = []
+    for left in range(0, SIDE + 1, STEP):
+        right = GRAM + max(0, SIDE - left - (STEP - 1))
+        there = (F.col("left") >= left) & (F.length("context") - F.col("left") >= right)
+        key = F.xxhash64("kh", F.substring("context", F.col("left") - left + 1, F.lit(left + right)))
+        keys.append(F.when(there, F.struct(key.alias("kh"), F.lit(left).alias("part"))))
+    return F.filter(F.array(*keys), lambda x: x.isNotNull())
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

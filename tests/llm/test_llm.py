@@ -226,12 +226,22 @@ def test_near_duplicates_in_long_lists(spark, monkeypatch):
             own[k] = f"x{rng.randint(0, 10**6)}"
         rows.append((i, " ".join(own)))
     rows += [(1000 + i, " ".join(base[:60] + [f"y{rng.randint(0, 10**6)}" for _ in range(60)])) for i in range(60)]
-    monkeypatch.setattr(minhash, "SHORT_LIST", 8)
-    monkeypatch.setattr(minhash, "HUBS", 4)
-    monkeypatch.setattr(minhash, "A_CELL", 8)
-    monkeypatch.setattr(minhash, "B_CELL", 16)
-    got = Counter(map(tuple, minhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
-    assert got == near_brute(rows)
+    frame, want = spark.createDataFrame(rows, "doc_id bigint, text string"), near_brute(rows)
+    assert Counter(map(tuple, minhash.classes(frame).collect())) == want
+    monkeypatch.setattr(minhash, "CELL", 16)
+    monkeypatch.setattr(minhash, "STAR", 8)
+    assert Counter(map(tuple, minhash.classes(frame).collect())) == want
+
+
+def test_intersections(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = ([np.unique(rng.integers(0, 40, rng.integers(0, 30))).astype(np.uint64) for _ in range(n)] for n in (7, 5))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert minhash.intersections(a, b).tolist() == want
+    monkeypatch.setattr(minhash, "ROOM", 20)
+    assert minhash.intersections(a, b).tolist() == want
 
 
 def test_dedup_keeps_one(spark, awkward):
@@ -291,7 +301,7 @@ def repeats_brute(rows, n=50):
 def test_repeats(spark, awkward, monkeypatch):
     for d in (awkward, SMALL):
         assert Counter(map(tuple, q.op6_suffix_dedup(spark, d).collect())) == repeats_brute(texts(spark, d)), d
-    monkeypatch.setattr(suffix_dedup, "LARGE", 2)
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 2)
     assert Counter(map(tuple, q.op6_suffix_dedup(spark, SMALL).collect())) == repeats_brute(texts(spark, SMALL))
 
 
@@ -305,11 +315,30 @@ def test_repeats_at_odd_places(spark):
     assert got == repeats_brute(rows)
 
 
-def test_maximal_repeats():
+@pytest.mark.parametrize("parts", [2, 1 << 17])
+def test_maximal_repeats(monkeypatch, parts):
+    monkeypatch.setattr(suffix_dedup, "PARTS", parts)
     got = {(n, tuple(sorted(o))) for n, o in suffix_dedup.maximal_repeats([b"xabcdefy", b"zabcdefw", b"qbcdeq"], 3)}
     assert got == {(6, ((0, 1), (1, 1))), (4, ((0, 2), (1, 2), (2, 1)))}
 
 
+def test_repeats_of_a_hot_passage(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+
+    def noise():
+        return "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 60)))
+
+    for n in (47, 49, 50, 51, 90):
+        passage = "".join(rng.choice("ijklmnop ") for _ in range(n))
+        rows = [(i, noise() + passage + noise()) for i in range(300)]
+        frame, want = spark.createDataFrame(rows, "doc_id bigint, text string"), repeats_brute(rows)
+        for split in (20, 2000):
+            monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+            assert Counter(map(tuple, suffix_dedup.removed(frame).collect())) == want, (n, split)
+
+
 def test_bpe(spark, awkward):
     import public_tokenizers as P
     import tiktoken
@@ -394,6 +423,13 @@ def test_neighbours_of_a_long_query(spark):
     assert recall(spark, rows)[100] == 1
 
 
+def test_a_query_of_another_length(spark):
+    rows = [(i, [float(i), 1.0, 2.0]) for i in range(0, 300, 50)]
+    frame = spark.createDataFrame([*rows, (400, [1.0, 2.0])], "vec_id bigint, embedding array<double>")
+    got = {r["query_id"] for r in ann.search(frame, F.col("vec_id") % 100 == 0).collect()}
+    assert got == {0, 100, 200}
+
+
 def test_neighbours_in_small_tables(spark):
     rows = [(100 * i, r["embedding"]) for i, r in enumerate(spark.read.parquet(f"{MID}/embeddings.parquet").orderBy("vec_id").limit(8).collect())]
     assert set(recall(spark, rows).values()) == {1}
