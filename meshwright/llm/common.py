@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def quoted(columns: list[str]) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in columns]
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def text_of(column: str | Column) -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

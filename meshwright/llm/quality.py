@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import WORD, cut, text_of, words_of
+from meshwright.llm.common import WORD, cut, free_name, let, quoted, text_of, words_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 EM_ROUNDS = 60
@@ -39,22 +39,25 @@ def count_repeat_words(words: Column) -> Column:
     hashes = F.transform(shifted, lambda w: F.xxhash64(w))
 
     def covered(h: Column) -> Column:
-        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        size = F.size(ordered)
-        none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-        beside = F.arrays_zip(ordered.alias("s"), F.concat(none, F.slice(ordered, 1, size - 1)).alias("p"), F.concat(F.slice(ordered, 2, size - 1), none).alias("q"))
-        again = F.filter(beside, lambda x: (x["s"]["h"].eqNullSafe(x["p"]["h"])) | (x["s"]["h"].eqNullSafe(x["q"]["h"])))
-        at = F.sort_array(F.transform(again, lambda x: x["s"]["i"]))
-        gaps = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.least(b - a, F.lit(WINDOW)))
-        return F.aggregate(gaps, F.lit(WINDOW), lambda acc, x: acc + x)
+        def again(ordered: Column) -> Column:
+            def beside(x: Column, i: Column) -> Column:
+                return F.coalesce(F.get(ordered, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(ordered, i + 1)["h"] == x["h"], F.lit(False))
+
+            return F.sort_array(F.transform(F.filter(ordered, beside), lambda x: x["i"]))
+
+        def total(at: Column) -> Column:
+            return F.aggregate(F.transform(at, lambda x, i: F.least(F.coalesce(F.get(at, i + 1) - x, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda acc, x: acc + x)
+
+        return let(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), again), total)
 
     return hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0)).cast("long")
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column __q of counts over whole texts."""
-    t = text_of(text)
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
+    """``row``, a struct of all columns of ``docs``, beside ``q``, a struct of counts over whole texts."""
+    t = F.col("text")
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(quoted(docs.columns))])
+    df = docs.select(row.alias("row"), text_of(quoted([text])[0]).alias("text"))
 
     def count(pattern: str) -> Column:
         return F.regexp_count(t, F.lit(pattern)).cast("long")
@@ -63,24 +66,24 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         return (F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))).cast("long")
 
     listed = [*FUNCTION_WORDS, *(w.capitalize() for w in FUNCTION_WORDS)]
-    df = docs.withColumn("__w", words_of(t)).withColumn("__l", lines)
-    hashes, repeats = count_repeat_words(F.col("__w"))
-    df = df.withColumn("__h", hashes)
-    return df.withColumn(
-        "__q",
+    df = df.withColumn("w", words_of(t)).withColumn("l", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
+    hashes, repeats = count_repeat_words(F.col("w"))
+    df = df.withColumn("h", hashes)
+    return df.select(
+        "row",
         F.struct(
-            F.size("__w").cast("long").alias("n_words"),
-            F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+            F.size("w").cast("long").alias("n_words"),
+            F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
             count("[#*$%&|<>]").alias("n_symbols"),
-            (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-            repeats(F.col("__h")).alias("n_repeat_words"),
-            F.size("__l").cast("long").alias("n_lines"),
-            F.size(F.array_intersect("__w", F.array(*map(F.lit, dict.fromkeys(listed))))).cast("long").alias("n_function"),
+            (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+            repeats(F.col("h")).alias("n_repeat_words"),
+            F.size("l").cast("long").alias("n_lines"),
+            F.size(F.array_intersect("w", F.array(*map(F.lit, dict.fromkeys(listed))))).cast("long").alias("n_function"),
             count("[A-ZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÚÛÜ]").alias("n_capitals"),
             count_mark("!").alias("n_exclaims"),
             count_mark("|").alias("n_bars"),
-        ),
-    ).drop("__w", "__l", "__h")
+        ).alias("q"),
+    )
 
 
 def vote_columns(q: Column) -> list[Column]:
@@ -140,19 +143,33 @@ def posterior(votes: tuple[int, ...], prior: float, right: list[tuple[float, flo
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with a struct __q: counts, votes, posterior, base_failed, kept."""
+def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, out: str | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with a struct of counts, votes, quality (the posterior), base_failed and kept.
+
+    The struct is the last column; its name is ``out``, or the first free one of __q, __q_, and so on.
+    """
     columns = docs.columns if keep is None else keep
-    seen = measures(docs.select(*[f"`{c}`" for c in dict.fromkeys([*columns, text])]), text).select(*[f"`{c}`" for c in columns], "__q")
-    seen = cut(seen.withColumn("__q", F.col("__q").withField("votes", F.array(*vote_columns(F.col("__q"))))), "quality")
-    counted = seen.groupBy(F.col("__q.votes").alias("votes")).count().collect()  # at most 3 ** len(RULES) rows
+    out = free_name(columns, "__q") if out is None else out
+    carried = docs.select(*quoted(list(dict.fromkeys([*columns, text]))))
+    at = {c: i for i, c in enumerate(carried.columns)}
+    seen = measures(carried, text)
+    seen = seen.select(*[F.col(f"row.c{at[c]}").alias(f"c{i}") for i, c in enumerate(columns)], "q")
+    seen = cut(seen.withColumn("q", F.col("q").withField("votes", F.array(*vote_columns(F.col("q"))))), "quality")
+    counted = seen.groupBy(F.col("q.votes").alias("votes")).count().collect()  # at most 3 ** len(RULES) rows
     prior, right = fit(sorted((tuple(r["votes"]), r["count"]) for r in counted))
     odds = F.lit(math.log(prior / (1 - prior)))
     for r, (a, b) in enumerate(right):
         up, down = weights(a, b)
-        v = F.col("__q.votes")[r]
+        v = F.col("q.votes")[r]
         odds = odds + F.when(v > 0, up).when(v < 0, down).otherwise(0.0)
     probability = F.round(1 / (1 + F.exp(-odds)), 9)
-    q = F.col("__q")
+    q = F.col("q")
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
-    return seen.withColumn("__q", q.withField("quality", probability).withField("base_failed", failed).withField("kept", ~failed & (probability >= 0.5)))
+    judged = q.withField("quality", probability).withField("base_failed", failed).withField("kept", ~failed & (probability >= 0.5))
+    return seen.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], judged.alias(out))
+
+
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    judged = judge(docs, text)
+    return judged.where(F.col(quoted(judged.columns[-1:])[0])["kept"]).select(*quoted(docs.columns))
