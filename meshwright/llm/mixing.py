@@ -86,7 +86,7 @@ def same_source(a: str, b: str) -> Column:
 
 
 def placed(rows: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, budget: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``rows``, distinct (id, key, source, size, copies), each with source_size, target and, for each of its copies, taken and visits (epoch, words, position)."""
+    """``rows``, distinct (a, b, key, source, size, copies), each with source_size, target and, for each of its copies, taken and visits (epoch, words, position)."""
     rows = cut(rows.withColumn("mixed", F.xxhash64(F.col("key").cast("string"), "size", "source", F.lit("mix"))).withColumn("words", F.col("size") * F.col("copies")), "mix")
     count = rows.count()
     buckets = 2 ** min(int(math.log2(MOST_BUCKETS)), max(int(math.log2(LEAST_BUCKETS)), math.ceil(math.log2(max(1, count / ROWS_PER_BUCKET)))))
@@ -95,8 +95,8 @@ def placed(rows: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, budget: float
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     shares = targets(rows.select("source", F.col("words").alias("size")), weights, budget, max_epochs)
     sums = sums.alias("a").join(shares.alias("b"), F.expr("a.source <=> b.source")).select("a.source", "bucket", "before", "source_size", "target", "kind")
-    rows = rows.alias("a").join(sums.alias("b"), same_source("a", "b") & (F.col("a.bucket") == F.col("b.bucket"))).select("a.*", "before", "source_size", "target", "kind")
-    inside = Window.partitionBy(F.coalesce("source", F.lit("")), F.isnull("source"), "bucket").orderBy("mixed", "key", "size", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.alias("x").join(sums.alias("y"), same_source("x", "y") & (F.col("x.bucket") == F.col("y.bucket"))).select("x.*", "before", "source_size", "target", "kind")
+    inside = Window.partitionBy(F.coalesce("source", F.lit("")), F.isnull("source"), "bucket").orderBy("mixed", "key", "size", "a", "b").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("before") + F.coalesce(F.sum("words").over(inside), F.lit(0))
     rows = rows.withColumn("first", first).withColumn("demand", F.floor(F.col("target") + 1e-6))
 
@@ -116,7 +116,7 @@ def placed(rows: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, budget: float
 
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("visits", visits(F.col("copy")))
     taken = F.aggregate("visits", F.lit(0).cast("long"), lambda acc, v: acc + v["words"])
-    return rows.select("id", "key", "source", "size", "source_size", "target", taken.alias("taken"), "visits")
+    return rows.select("a", "b", "key", "source", "size", "source_size", "target", taken.alias("taken"), "visits")
 
 
 def place(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
@@ -124,7 +124,7 @@ def place(docs: DataFrame, text: str = "text", source: str = "source", key: str
     k = F.col(quoted([key])[0])
     rows = docs.select(k.alias("key"), F.col(quoted([source])[0]).alias("source"), size_of(quoted([text])[0]).alias("size"))
     rows = rows.groupBy("key", "source", "size").agg(F.count("*").alias("copies"))
-    out = placed(rows.withColumn("id", F.lit(0)), **options)
+    out = placed(rows.withColumn("a", F.lit(0)).withColumn("b", F.lit(0)), **options)
     return out.select("key", "source", "size", "source_size", "target", "taken", "visits")
 
 
@@ -133,22 +133,22 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), 1, n.cast("int")), "")
 
 
-def identity(docs: DataFrame) -> Column:
-    """128 bits that tell rows apart by all their columns."""
+def identity(docs: DataFrame) -> list[Column]:
+    """128 bits, as columns a and b, that tell rows apart by all their columns."""
     parts = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, (_, kind) in zip(quoted(docs.columns), docs.dtypes, strict=True)]
     nulls = [F.isnull(c) for c in quoted(docs.columns)]  # a hash passes over nulls
-    return F.struct(F.xxhash64(F.lit(1), *parts, *nulls).alias("a"), F.xxhash64(F.lit(2), *nulls, *parts).alias("b"))
+    return [F.xxhash64(F.lit(1), *parts, *nulls).alias("a"), F.xxhash64(F.lit(2), *nulls, *parts).alias("b")]
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The training mix: the columns of ``docs``, one row for each copy taken, in training order."""
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(quoted(docs.columns))])
-    told = docs.select(identity(docs).alias("id"), F.col(quoted([key])[0]).alias("key"), F.col(quoted([source])[0]).alias("source"), F.col(quoted([text])[0]).alias("text"), row.alias("row"))
-    slim = told.groupBy("id", "key", "source", size_of("text").alias("size")).agg(F.count("*").alias("copies"))
-    visits = placed(slim, **options).select("id", "size", F.explode("visits").alias("v"))
+    told = docs.select(*identity(docs), F.col(quoted([key])[0]).alias("key"), F.col(quoted([source])[0]).alias("source"), F.col(quoted([text])[0]).alias("text"), row.alias("row"))
+    slim = told.groupBy("a", "b", "key", "source", size_of("text").alias("size")).agg(F.count("*").alias("copies"))
+    visits = placed(slim, **options).select("a", "b", "size", F.explode("visits").alias("v"))
     # Equal rows are one before the shuffle; each text goes to its visits, then to its place.
-    held = told.groupBy("id").agg(F.first("row").alias("row"))
-    rows = held.join(visits, "id").select("row", "size", "v.words", "v.position", "v.epoch")
+    held = told.groupBy("a", "b").agg(F.first("row").alias("row"))
+    rows = held.join(visits, ["a", "b"]).select("row", "size", "v.words", "v.position", "v.epoch")
 
     def column(i: int, name: str) -> Column:
         c = F.col(f"row.c{i}")
