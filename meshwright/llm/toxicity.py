@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import text_of
+from meshwright.llm.common import free_name, quoted, text_of
 
 SAMPLE = 20_000
 STEM = 4
@@ -78,16 +78,28 @@ def segments(at: list[int], scores: list[float], margin: float = MARGIN) -> list
     return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
-def evidence(text: str, model: Model) -> tuple[float, list[tuple[int, int, float, float]]]:
-    """-log of the text's joint E-value, and its significant passages (start and end in tokens, score, E-value)."""
+def marked(text: str, known: dict[str, float]) -> tuple[int, list[int], list[float]]:
+    """Number of tokens, and places and scores of those with a score above zero."""
     tokens = TOKEN.findall(text.lower())
-    get, at, scores = model.scores.get, [], []
+    get, at, scores = known.get, [], []
     for i, w in enumerate(tokens):
         s = max(get(w, 0.0), get("^" + w[:STEM], 0.0)) - MARGIN
         if s > 0:
             at.append(i)
             scores.append(s)
-    area = math.log(model.scale * max(1, len(tokens)))
+    return len(tokens), at, scores
+
+
+def longest(text: str, known: dict[str, float]) -> tuple[float, float]:
+    """Number of tokens and the largest segment score, 0 if there is none."""
+    n, at, scores = marked(text, known)
+    return float(n), max((s for *_, s in segments(at, scores)), default=0.0)
+
+
+def evidence(text: str, model: Model) -> tuple[float, list[tuple[int, int, float, float]]]:
+    """-log of the text's joint E-value, and its significant passages (start and end in tokens, score, E-value)."""
+    n, at, scores = marked(text, model.scores)
+    area = math.log(model.scale * max(1, n))
     if not at:
         return -area, []
     found = sorted(segments(at, scores), key=lambda x: -x[2])
@@ -124,16 +136,30 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     plain = max(1.0, float(next(r["tokens"] for r in kinds if not r["bad"]) or 1))
     mass = [((r["x"] + r["a"]) / plain, r["odds"] - MARGIN) for r in lexicon]
     rate = decay(mass)
-    draft = Model(scores, rate, 1.0, 1.0, 0.0)
+
+    @F.pandas_udf("tokens double, best double")
+    def maxima(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            yield pd.DataFrame([longest(t, scores) for t in texts], columns=["tokens", "best"])
+
+    # A number or two, and a label, for each row of the bounded sample come to the driver.
+    calm = rows.where("NOT bad").select(maxima("text").alias("x")).select("x.*").where("best > 0").collect()
+    scale = location([(r["tokens"], r["best"]) for r in calm], rate)
+    draft = Model(scores, rate, scale, 1.0, 0.0)
 
     @F.pandas_udf("double")
     def told(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([evidence(t, draft)[0] for t in texts], dtype=float)
 
-    seen = rows.select("bad", told("text").alias("x")).collect()  # a number and a label for each row of the sample
+    seen = rows.select("bad", told("text").alias("x")).collect()
     slope, offset = logistic(np.array([r["x"] for r in seen]), np.array([float(r["bad"]) for r in seen]))
-    return Model(scores, rate, 1.0, slope, offset)
+    return Model(scores, rate, scale, slope, offset)
+
+
+def location(maxima: list[tuple[float, float]], rate: float) -> float:
+    """K of the law P(best < s) = exp(-K * tokens * exp(-rate * s)): its likeliest value for plain texts' (tokens, best); 1 if there are none."""
+    return len(maxima) / math.fsum(n * math.exp(-rate * s) for n, s in maxima) if maxima else 1.0
 
 
 def decay(mass: list[tuple[float, float]]) -> float:
@@ -168,8 +194,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return w[0] / spread, w[1] - w[0] * mean / spread
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a struct __toxic: score, and passages (start and end in tokens, score, e_value)."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str | None = None) -> DataFrame:
+    """``docs`` with a struct of score and passages (start and end in tokens, score, e_value), a last column: ``name``, or the first free one of __toxic, __toxic_, ..."""
+    name = free_name(docs.columns, "__toxic") if name is None else name
     out = "score double, passages array<struct<start:int,end:int,score:double,e_value:double>>"
 
     @F.pandas_udf(out)
@@ -182,4 +209,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 rows.append((p, [{"start": a, "end": b, "score": s, "e_value": e} for a, b, s, e in passages]))
             yield pd.DataFrame(rows, columns=["score", "passages"])
 
-    return docs.withColumn("__toxic", told(text_of(f"`{text}`")))
+    return docs.withColumn(name, told(text_of(quoted([text])[0])))
