@@ -8,7 +8,7 @@ matches give the offsets. Repetition is possessive and start positions are held
 to the start of a run, so that long texts are scanned once.
 
 Defined cases: a null or empty text has no spans; rows are judged one by one, so
-repeated rows, null ids and other columns change nothing.
+repeated rows, null ids and other columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import running, text_of
+from meshwright.llm.common import free_name, let, quoted, running, text_of
 
 CONTEXT = 40
+CHUNK = 4096
 KEEP = 0.5
 SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
 
@@ -79,6 +80,18 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
+def chunked(text: Column) -> Column:
+    """The text in pieces of CHUNK characters, so that a substring far inside needn't count from the start."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CHUNK).cast("int")), lambda i: F.substring(text, i * CHUNK + 1, F.lit(CHUNK)))
+
+
+def between(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` of a chunked text."""
+    first = F.floor(start / CHUNK).cast("int")
+    some = F.array_join(F.slice(chunks, first + 1, F.floor(end / CHUNK).cast("int") - first + 1), "")
+    return F.substring(some, (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
     """The confirmed spans of a kind in a text, by start."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), 0)
@@ -88,35 +101,38 @@ def spans_of(text: Column, kind: Kind) -> Column:
     placed = F.arrays_zip(parts.alias("p"), ends.alias("e"))
     confirmed = F.filter(placed, lambda x: kind.check(x["p"]["m"]))
 
-    def span(x: Column) -> Column:
-        start = (x["e"] - F.length(x["p"]["m"])).cast("int")
-        first = F.greatest(start - CONTEXT, F.lit(0))
-        near = F.lower(F.substring(text, first + 1, start - first))
+    def span(x: Column, chunks: Column) -> Column:
+        start = x["e"] - F.length(x["p"]["m"])
+        near = F.lower(between(chunks, F.greatest(start - CONTEXT, F.lit(0)), start))
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near.rlike(kind.context), 0.3).otherwise(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), (x["e"] - F.length(x["p"]["m"])).alias("start"), x["e"].alias("end"), score.alias("score"))
 
-    spans = F.transform(confirmed, span)
+    spans = let(chunked(text), lambda chunks: F.transform(confirmed, lambda x: span(x, chunks)))
     if not kind.base:
         spans = F.filter(spans, lambda s: s["score"] >= KEEP)
     return F.when(text.rlike(kind.hint), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with __spans: all spans, by kind in the order of KINDS, then start."""
-    t = text_of(f"`{text}`")
-    return docs.withColumn("__spans", F.concat(*[spans_of(t, k).cast(f"array<{SPAN}>") for k in KINDS]))
+def find(docs: DataFrame, text: str = "text", out: str | None = None) -> DataFrame:
+    """``docs`` with all spans, by kind in the order of KINDS, then start, as a last column: ``out``, or the first free name of __spans, __spans_, ..."""
+    t = text_of(quoted([text])[0])
+    out = free_name(docs.columns, "__spans") if out is None else out
+    return docs.withColumn(out, F.concat(*[spans_of(t, k).cast(f"array<{SPAN}>") for k in KINDS]))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind in brackets; of overlapping spans the first names the gap."""
-    found = find(docs, text).withColumn("__spans", F.sort_array(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    ends = running(F.col("__spans.end"), lambda a, v: F.greatest(a, v), F.lit(0).cast("long"))
-    found = found.withColumn("__ends", ends)
-    t, n = F.col(f"`{text}`"), F.size("__spans")
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("__ends", 1, F.greatest(n - 1, F.lit(0))))
-    pieces = F.transform(
-        F.arrays_zip(F.col("__spans").alias("s"), before.alias("b")),
-        lambda x: F.when(x["s"]["start"] >= x["b"], F.concat(F.substring(t, (x["b"] + 1).cast("int"), (x["s"]["start"] - x["b"]).cast("int")), F.lit("["), F.upper(x["s"]["kind"]), F.lit("]"))).otherwise(""),
-    )
-    rest = F.substring(t, (F.element_at("__ends", -1) + 1).cast("int"), F.length(t))
-    return found.withColumn(text, F.when(n > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(t)).drop("__spans", "__ends")
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(quoted(docs.columns))])
+    found = find(docs.select(row.alias("row"), F.col(quoted([text])[0]).alias("text")), out="spans")
+    found = found.withColumn("spans", F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    found = found.withColumn("ends", running(F.col("spans.end"), lambda a, v: F.greatest(a, v), F.lit(0).cast("long")))
+    t, n = F.col("text"), F.size("spans")
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.greatest(n - 1, F.lit(0))))
+    gaps = F.arrays_zip(F.col("spans").alias("s"), before.alias("b"))
+
+    def filled(chunks: Column) -> Column:
+        pieces = F.transform(gaps, lambda x: F.when(x["s"]["start"] >= x["b"], F.concat(between(chunks, x["b"], x["s"]["start"]), F.lit("["), F.upper(x["s"]["kind"]), F.lit("]"))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), between(chunks, F.element_at("ends", -1), F.length(t).cast("long")))
+
+    said = F.when(n > 0, let(chunked(t), filled)).otherwise(t)
+    return found.select(*[(said if c.lower() == text.lower() else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
