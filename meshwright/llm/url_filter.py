@@ -8,7 +8,8 @@ the longest rule wins.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and
 fits no rule; repeated rows each get their verdict; an empty table or an empty
-rule list gives the default verdict.
+rule list gives the default verdict. Other columns travel along, but those named
+host, path, rule or verdict (in any case) give way to the results.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import lower_ascii, text_of, values
+from meshwright.llm.common import lower_ascii, quoted, text_of, values
 
 PREFIX_HEX = 8
 #: The rules of the query op2_url_filter.
@@ -39,7 +40,10 @@ def rules_frame(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict."""
-    keyed = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    left = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    row = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(quoted(left))])
+    link = F.col(quoted([url])[0])
+    keyed = pages.select(row.alias("row"), host_of(link).alias("host"), path_of(link).alias("path"))
     expr = F.concat("host", "path")
     listed = rules.select(
         F.struct(F.length(expr).alias("long"), F.length("host").alias("host_long"), (F.col("verdict") == "block").alias("blocks"), expr.alias("rule"), F.col("verdict").alias("verdict")).alias("hit"),
@@ -49,16 +53,16 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     ).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
     # Shapes, not rules: a host has at most 128 labels and few path lengths occur.
     shapes = [(r["labels"], r["reach"]) for r in listed.select("labels", "reach").distinct().collect()]
-    if not shapes:
-        return keyed.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     h, p = F.col("host"), F.col("path")
     labels = F.size(F.split(h, r"\."))
+    none = F.lit(None).cast("string")
     forms = F.filter(
-        F.array(*[F.when((labels >= n) & (F.length(p) >= m), F.concat(F.substring_index(h, ".", -n), F.substring(p, 1, m) if m else F.lit(""))) for n, m in sorted(shapes)]),
+        F.array(none, *[F.when((labels >= n) & (F.length(p) >= m), F.concat(F.substring_index(h, ".", -n), F.substring(p, 1, m) if m else F.lit(""))) for n, m in sorted(shapes)]),
         lambda x: x.isNotNull(),
     )
     urls = keyed.select("host", "path").distinct()  # one row for each url part however often it occurs
     digests = urls.select("host", "path", F.explode(forms).alias("form")).select("host", "path", F.sha2("form", 256).alias("full"))
     met = digests.withColumn("prefix", F.substring("full", 1, PREFIX_HEX)).join(listed.select("prefix", "digest", "hit"), "prefix").where("full = digest")
     best = met.groupBy("host", "path").agg(F.max("hit").alias("hit"))
-    return keyed.join(best, ["host", "path"], "left").withColumn("rule", F.col("hit.rule")).withColumn("verdict", F.coalesce("hit.verdict", F.lit(default))).drop("hit")
+    out = keyed.join(best, ["host", "path"], "left")
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(left)], "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
