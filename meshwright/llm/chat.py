@@ -10,7 +10,9 @@ inside a text and reading the output back gives each text exactly. Loss spans co
 
 Defined cases: a null text is empty, a null role is an empty role; rows of equal
 turn order by role, then text; repeated rows are turns of their own; rows with a
-null conv_id form one conversation; an empty table gives no conversations.
+null conv_id form one conversation, and conv_id keeps its type; an empty table gives
+no conversations; a column ``parts`` that is no array of structs with a type, and
+all other columns, are ignored; a part of a null or unknown type is a document.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 #: Tokens that one attachment of a type expands to, and those for a unit of its size.
 EXPANSION = {"image": (85, 170), "audio": (0, 25), "document": (10, 300)}
@@ -59,7 +62,7 @@ class Visitor:
         self.emit(f"{OPEN}{escape(role)}{CLOSE}")
         for part in parts:
             begin = self.length
-            getattr(self, f"visit_{part['type']}")(part)
+            getattr(self, f"visit_{part['type']}", self.visit_document)(part)
             if role == "assistant" and part["type"] == "text":
                 self.loss.append((begin, self.length))
         self.emit(END)
@@ -68,10 +71,12 @@ class Visitor:
         self.emit(escape(part.get("text") or ""))
 
     def attach(self, part: dict) -> None:
-        base, unit = EXPANSION[part["type"]]
+        kind = part["type"] if part["type"] in EXPANSION else "document"
+        base, unit = EXPANSION[kind]
+        units = part.get("units")
         i = len(self.attachments)
-        self.attachments.append({"index": i, "type": part["type"], "ref": part.get("ref", ""), "offset": self.length, "tokens": base + unit * int(part.get("units", 1))})
-        self.emit(f"<|{part['type']}:{i}|>")
+        self.attachments.append({"index": i, "type": kind, "ref": part.get("ref") or "", "offset": self.length, "tokens": base + unit * int(1 if units is None else units)})
+        self.emit(f"<|{kind}:{i}|>")
 
     visit_image = visit_audio = visit_document = attach
 
@@ -106,30 +111,41 @@ def read_back(text: str) -> list[tuple[str, str, list[int]]]:
     return turns
 
 
-FORMAT = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, formatted string, attachment_tokens bigint"
+ATTACHED = "array<struct<index:int,type:string,ref:string,offset:bigint,tokens:bigint>>"
+FORMAT = f"n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, formatted string, attachment_tokens bigint, attachments {ATTACHED}"
+
+
+def typed(kind: DataType) -> bool:
+    return isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and "type" in kind.elementType.names
 
 
 def format_frame(rows: DataFrame) -> DataFrame:
     """One row a conversation, formatted and read back; ``rows``: conv_id, turn, role, text, and optionally parts.
 
-    ``parts``, an array of (type, ref, units), are attachments that stand before the turn's text.
+    ``parts``, an array of (type, ref, units, text), holds in order what stands before the turn's text: attachments
+    and, of type text, more text. ``attachments`` records each one's place in the formatted text.
     """
-    parts = F.col("parts") if "parts" in rows.columns else F.array().cast("array<struct<type:string,ref:string,units:bigint>>")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    parts = F.coalesce("parts", F.array()) if "parts" in kinds and typed(kinds["parts"]) else F.array().cast("array<struct<type:string>>")
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), parts.alias("parts"))
-    grouped = rows.groupBy(F.col("conv_id").cast("string").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "formatted", "attachment_tokens", "attachments"]
 
-    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def told(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long, string = pa.int64(), pa.string()
+        attached = pa.list_(pa.struct([("index", pa.int32()), ("type", string), ("ref", string), ("offset", long), ("tokens", long)]))
+        for batch in frames:
             out = []
-            for conv, turns in zip(frame["conv_id"], frame["turns"], strict=True):
-                v = format_conversation([(t["role"], [*(dict(p) for p in (() if t["parts"] is None else t["parts"])), {"type": "text", "text": t["text"]}]) for t in turns])
+            for turns in batch.column("turns").to_pylist():
+                v = format_conversation([(t["role"], [*(p for p in t["parts"] if p is not None), {"type": "text", "text": t["text"]}]) for t in turns])
                 text = v.text
                 sha, n = hashlib.sha256(), 0
                 for role, said, _ in read_back(text):
                     sha.update(f"{role}\n{said}\n".encode())
                     n += 1
                 loss = "".join(unescape(text[a:b]) for a, b in v.loss)
-                out.append((None if conv is None else int(conv), n, sha.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), text, sum(a["tokens"] for a in v.attachments)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FORMAT.split(", ")]).astype({"conv_id": "Int64"})
+                out.append((n, sha.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), text, sum(a["tokens"] for a in v.attachments), v.attachments))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.record_batch([batch.column("conv_id"), *[pa.array(c, t) for c, t in zip(columns, (long, string, long, string, long, string, long, attached), strict=True)]], names=names)
 
-    return grouped.mapInPandas(told, FORMAT)
+    return grouped.mapInArrow(told, f"conv_id {grouped.schema['conv_id'].dataType.simpleString()}, {FORMAT}")
