@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import cut, spread_of, text_of
+from meshwright.llm.common import cut, quoted, spread_of, text_of
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 32, 11
@@ -123,7 +123,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_of(f"`{text}`").alias("text"))
+    return docs.select(F.col(quoted([key])[0]).cast("long").alias("doc_id"), text_of(quoted([text])[0]).alias("text"))
 
 
 def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -390,9 +390,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the row of its component_id (of rows that share it, one)."""
-    kept = classes(docs, key, text).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    one = Window.partitionBy("__id").orderBy(F.xxhash64(text_of(f"`{text}`")))
-    left = docs.withColumn("__id", F.col(f"`{key}`").cast("long")).join(kept, "__id").withColumn("__n", F.row_number().over(one)).where("__n = 1")
-    columns = [f"`{c}`" for c in docs.columns]
-    return left.select(*columns).unionAll(docs.where(F.col(f"`{key}`").isNull()).select(*columns))
+    """``docs`` with one document of each class: the row of its component_id (of rows that share it, the one of least text hash)."""
+    kept = classes(docs, key, text).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(quoted(docs.columns))])
+    rows = docs.select(F.col(quoted([key])[0]).cast("long").alias("doc_id"), F.xxhash64(text_of(quoted([text])[0])).alias("h"), row.alias("row"))
+    one = Window.partitionBy("doc_id").orderBy("h")
+    named = rows.join(kept, "doc_id").withColumn("n", F.row_number().over(one)).where("n = 1").select("row")
+    left = named.unionAll(rows.where("doc_id IS NULL").select("row"))
+    return left.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
