@@ -13,7 +13,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.judge(docs).where("__q.kept").select(*[f"`{c}`" for c in docs.columns])
+    return quality.keep_good(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
