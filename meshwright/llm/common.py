@@ -73,13 +73,19 @@ def running(array: Column, merge, zero: Column, chunk: int = 256) -> Column:
     Spark has no scan over an array, so totals are taken in chunks: totals of
     whole chunks first, then within each chunk, which keeps the work near n * chunk.
     """
-    n = F.size(array)
-    chunks = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / chunk), F.lit(0)).cast("int"))
-    per = F.transform(chunks, lambda c: F.aggregate(F.slice(array, c * chunk + 1, chunk), zero, merge))
-    before = F.transform(chunks, lambda c: F.aggregate(F.slice(per, 1, c), zero, merge))
+    def totals(a: Column) -> Column:
+        n = F.size(a)
+        chunks = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / chunk), F.lit(0)).cast("int"))
+        per = F.transform(chunks, lambda c: F.aggregate(F.slice(a, c * chunk + 1, chunk), zero, merge))
 
-    def inside(i: Column) -> Column:
-        c = F.floor(i / chunk).cast("int")
-        return F.aggregate(F.slice(array, c * chunk + 1, i - c * chunk + 1), F.get(before, c), merge)
+        def inside(before: Column, i: Column) -> Column:
+            c = F.floor(i / chunk).cast("int")
+            return F.aggregate(F.slice(a, c * chunk + 1, i - c * chunk + 1), F.get(before, c), merge)
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), inside)).otherwise(F.slice(array, 1, 0))
+        def each(before: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: inside(before, i))
+
+        behind = let(per, lambda p: F.transform(chunks, lambda c: F.aggregate(F.slice(p, 1, c), zero, merge)))
+        return F.when(n > 0, let(behind, each)).otherwise(F.slice(a, 1, 0))
+
+    return let(array, totals)

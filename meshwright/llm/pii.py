@@ -94,20 +94,22 @@ def between(chunks: Column, start: Column, end: Column) -> Column:
 
 def spans_of(text: Column, kind: Kind) -> Column:
     """The confirmed spans of a kind in a text, by start."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), 0)
-    pieces = F.split(text, kind.pattern, -1)
-    parts = F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("g"))
-    ends = running(F.transform(parts, lambda x: (F.length(x["m"]) + F.length(x["g"])).cast("long")), lambda a, v: a + v, F.lit(0).cast("long"))
-    placed = F.arrays_zip(parts.alias("p"), ends.alias("e"))
-    confirmed = F.filter(placed, lambda x: kind.check(x["p"]["m"]))
-
     def span(x: Column, chunks: Column) -> Column:
-        start = x["e"] - F.length(x["p"]["m"])
+        start = x["e"] - F.length(x["m"])
         near = F.lower(between(chunks, F.greatest(start - CONTEXT, F.lit(0)), start))
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near.rlike(kind.context), 0.3).otherwise(0.0))
-        return F.struct(F.lit(kind.name).alias("kind"), (x["e"] - F.length(x["p"]["m"])).alias("start"), x["e"].alias("end"), score.alias("score"))
+        return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), x["e"].alias("end"), score.alias("score"))
+
+    def confirmed(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda x: (F.length(x["m"]) + F.length(x["g"])).cast("long")), lambda a, v: a + v, F.lit(0).cast("long"))
+        return F.filter(F.zip_with(parts, ends, lambda p, e: F.struct(p["m"].alias("m"), e.alias("e"))), lambda x: kind.check(x["m"]))
+
+    def parted(found: Column) -> Column:
+        gaps = F.slice(F.split(text, kind.pattern, -1), 1, F.size(found))
+        return F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
 
-    spans = let(chunked(text), lambda chunks: F.transform(confirmed, lambda x: span(x, chunks)))
+    matches = let(let(F.regexp_extract_all(text, F.lit(kind.pattern), 0), parted), confirmed)
+    spans = let(chunked(text), lambda chunks: F.transform(matches, lambda x: span(x, chunks)))
     if not kind.base:
         spans = F.filter(spans, lambda s: s["score"] >= KEEP)
     return F.when(text.rlike(kind.hint), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
