@@ -193,21 +193,21 @@ mutate("set_property", "g.V().hasLabel('region').property('r_name', 'X')", lambd
 native("delete_vertex", f"WITH {FM} SELECT count(*) AS n FROM fm WHERE src >= {C + 20} AND dst >= {C + 20}")(lambda g: g.delete_vertices(g.vertices.where(F.col("id") < C + 20)).edges.agg(F.count("*").alias("n")))
 # algorithms
 BFS = f"WITH RECURSIVE {FD}, r(id, depth) AS (SELECT {C}, 0 UNION SELECT dst, depth + 1 FROM r JOIN f ON src = id WHERE depth < 10)"
-BFS_SQL = BFS.replace("UNION SELECT dst, depth + 1 FROM r JOIN f ON src = id WHERE depth < 10", "UNION SELECT dst, depth + 1 FROM r JOIN f ON src = id WHERE depth < 6") + " SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY id"
-native("bfs_depth", BFS_SQL)(lambda g: alg.bfs(g.adj, C, 6).select("id", "depth"))
-native("bfs_range_order", BFS_SQL.replace("GROUP BY id", "GROUP BY id").replace("SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM r", f"SELECT id, CAST(min(depth) AS INTEGER) AS depth, id BETWEEN {C + 100} AND {C + 200} AS in_range FROM r"))(lambda g: alg.range_bfs(g.adj, C, C + 100, C + 200, 6))
-native("dfs_reachable", BFS_SQL.replace("SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM r", "SELECT id FROM r"))(lambda g: alg.bfs(g.adj, C, 6).select("id"))
+BFS_SQL = BFS + " SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY id"
+native("bfs_depth", BFS_SQL)(lambda g: alg.bfs(g.adj, C).select("id", "depth"))
+native("bfs_range_order", BFS_SQL.replace("GROUP BY id", "GROUP BY id").replace("SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM r", f"SELECT id, CAST(min(depth) AS INTEGER) AS depth, id BETWEEN {C + 100} AND {C + 200} AS in_range FROM r"))(lambda g: alg.range_bfs(g.adj, C, C + 100, C + 200))
+native("dfs_reachable", BFS_SQL.replace("SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM r", "SELECT id FROM r"))(lambda g: alg.bfs(g.adj, C).select("id"))
 native("shortest_path_length", BFS_SQL.replace("SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY id", f"SELECT min(depth) + 1 AS n FROM r WHERE id = {C + 99}"))(lambda g: alg.shortest_path(g.adj, C, C + 99).agg(F.count("*").alias("n")))
-native("sssp", BFS_SQL.replace("CAST(min(depth) AS INTEGER) AS depth", "CAST(min(depth) AS DOUBLE) AS distance").replace("depth < 6", "depth < 12"))(lambda g: alg.sssp(g.adj, C))
+native("sssp", BFS_SQL.replace("CAST(min(depth) AS INTEGER) AS depth", "CAST(min(depth) AS DOUBLE) AS distance").replace("depth < 10", "depth < 12"))(lambda g: alg.sssp(g.adj, C))
 native("khop_walk", f"WITH {FD}, a AS (SELECT DISTINCT dst AS id FROM f WHERE src = {C}), b AS (SELECT DISTINCT dst AS id FROM f JOIN a ON src = id) SELECT 1 AS level, id FROM a UNION ALL SELECT 2, id FROM b")(lambda g: alg.k_hop(g.adj, C, 2))
 native("khop_shortest", BFS_SQL.replace("SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY id", "SELECT CAST(min(depth) AS INTEGER) AS level, id FROM r GROUP BY id HAVING min(depth) BETWEEN 1 AND 2"))(lambda g: alg.k_hop(g.adj, C, 2, shortest=True))
 PR = FD + f", ids AS (SELECT {C} + c_custkey AS id FROM customer), n AS (SELECT count(*) AS n FROM ids), deg AS (SELECT src, count(*) AS d FROM f GROUP BY src), p0 AS (SELECT id, 1.0::DOUBLE / n AS s FROM ids, n)"
 for _i in range(1, 4):
     PR += f", p{_i} AS (SELECT ids.id, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * coalesce(sum(q.s / d), 0) AS s FROM ids CROSS JOIN n LEFT JOIN f ON f.dst = ids.id LEFT JOIN p{_i - 1} q ON q.id = f.src LEFT JOIN deg ON deg.src = f.src GROUP BY ids.id)"
 native("pagerank", f"WITH {PR} SELECT id, CAST(round(s * 1e9) AS BIGINT) AS score FROM p3")(lambda g: alg.pagerank(g.vertices.where("label = 'customer'"), g.adj, rounds=3).select("id", F.round(F.col("score") * 1e9).cast("long").alias("score")))
-native("components", f"WITH RECURSIVE {FD}, s AS (SELECT src, dst FROM f WHERE src < {C + 300} AND dst < {C + 300} UNION SELECT dst, src FROM f WHERE src < {C + 300} AND dst < {C + 300}), r(id, x) AS (SELECT {C} + c_custkey, {C} + c_custkey FROM customer WHERE c_custkey < 300 UNION SELECT r.id, dst FROM r JOIN s ON src = x) SELECT id, min(x) AS component FROM r GROUP BY id")(lambda g: alg.components(g.vertices.where(f"label = 'customer' AND id < {C + 300}"), g.adj))
-# The whole graph, which recursive SQL is too slow for.
-native("components_all")(lambda g: alg.components(g.vertices.where("label = 'customer'"), g.adj))
+COMPONENTS_SQL = f"""WITH RECURSIVE {FD}, s AS (SELECT src, dst FROM f UNION SELECT dst, src FROM f),
+ r(id, x) AS (SELECT {C} + c_custkey, {C} + c_custkey FROM customer UNION SELECT r.id, dst FROM r JOIN s ON src = x) SELECT id, min(x) AS component FROM r GROUP BY id"""
+native("components", COMPONENTS_SQL)(lambda g: alg.components(g.vertices.where("label = 'customer'"), g.adj))
 RANGE_SQL = f"WITH {FD} SELECT count(DISTINCT src) AS n_vertices, count(*) FILTER (WHERE dst BETWEEN {C + 100} AND {C + 300}) AS n_edges, n_edges / (n_vertices * (n_vertices - 1))::DOUBLE AS density FROM f WHERE src BETWEEN {C + 100} AND {C + 300}"
 native("range_query", RANGE_SQL)(lambda g: alg.range_summary(g.vertices, g.adj, C + 100, C + 300))
 native("range_neighbors", f"WITH {FD} SELECT src, dst FROM f WHERE src BETWEEN {C + 100} AND {C + 300} AND dst BETWEEN {C + 100} AND {C + 300}")(lambda g: g.adj.where(F.col("src").between(C + 100, C + 300) & F.col("dst").between(C + 100, C + 300)))
@@ -219,7 +219,7 @@ native("network_metrics", f"WITH {FM} SELECT v AS n_vertices, e AS n_edges, 2 *
 native("degree_filters", f"WITH {FD} SELECT src AS id, count(*) AS degree FROM f GROUP BY src HAVING count(*) BETWEEN 12 AND 14 AND NOT count(*) = 13")(lambda g: g.degrees().where(p.degree_range(12, 14) & ~(F.col("degree") == 13)))
 native("engine_query", f"WITH {FD} SELECT concat('v', {C} + c_custkey) AS vertex_id, count(dst) AS degree, any_value(c_name) AS c_name FROM customer LEFT JOIN f ON src = {C} + c_custkey WHERE c_acctbal BETWEEN 0 AND 500 AND c_mktsegment <> 'BUILDING' GROUP BY c_custkey")(lambda g: g.vertices.where("label = 'customer'").where(p.property_range("c_acctbal", 0.0, 500.0) & p.property_not_equals("c_mktsegment", "BUILDING")).join(g.degrees(), "id").select(F.concat(F.lit("v"), "id").alias("vertex_id"), "degree", "c_name"))
 native("random_walk")(lambda g: alg.random_walk(g.adj, C))
-native("locality")(lambda g: alg.locality(g.adj))
+native("locality", f"WITH {FD}, gaps AS (SELECT src, dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS gap FROM f) SELECT src AS id, exp(-coalesce(avg(gap), 0) / 1e6) AS score FROM gaps GROUP BY src")(lambda g: alg.locality(g.adj))
 # cost model
 DEG = f"WITH {FD}, d AS (SELECT src AS id, count(*) AS degree FROM f GROUP BY src)"
 native("update_cost", f"{DEG} SELECT id, CAST(round((2 * 8 * 10 * 4 / 4096.0 + degree * (0.5 / (0.5 * 9))) * 1e6) AS BIGINT) AS delta, CAST(round((2 + (degree + 1) * 8 / 4096.0 + (degree + 2) * 8 * 10 * 4 / 4096.0) * 1e6) AS BIGINT) AS pivot FROM d")(lambda g: g.degrees().where("degree > 0").select("id", F.round(cost.delta_cost(F.col("degree")) * 1e6).cast("long").alias("delta"), F.round(cost.pivot_cost(F.col("degree")) * 1e6).cast("long").alias("pivot")))
@@ -234,9 +234,9 @@ def mutual(g, a: int, b: int) -> DataFrame:
     return g.neighbors(a).join(g.neighbors(b), "dst", "left_semi").withColumnRenamed("dst", "id")
 
 
-MUTUAL = f"WITH {FD} SELECT dst AS id FROM f WHERE src = {C + 605} AND dst IN (SELECT dst FROM f WHERE src = {C + 12})"
-native("mutual_friends", MUTUAL)(lambda g: mutual(g, C + 605, C + 12))
-native("mutual_count", MUTUAL.replace("SELECT dst AS id FROM f WHERE src =", "SELECT count(*) AS n FROM f WHERE src ="))(lambda g: mutual(g, C + 605, C + 12).agg(F.count("*").alias("n")))
+MUTUAL = f"WITH {FD} SELECT dst AS id FROM f WHERE src = {C + 154} AND dst IN (SELECT dst FROM f WHERE src = {C + 1094})"
+native("mutual_friends", MUTUAL)(lambda g: mutual(g, C + 154, C + 1094))
+native("mutual_count", MUTUAL.replace("SELECT dst AS id FROM f WHERE src =", "SELECT count(*) AS n FROM f WHERE src ="))(lambda g: mutual(g, C + 154, C + 1094).agg(F.count("*").alias("n")))
 text("friends_of_friends", FO, f"g.V({C + 1}).out('follows').out('follows').where(neq(V({C + 1}))).dedup()", f"WITH {FD} SELECT DISTINCT b.dst AS id FROM f a JOIN f b ON a.dst = b.src WHERE a.src = {C + 1} AND b.dst <> {C + 1}")
 text("influencers", FO, INFLUENCERS, IN_SQL)
 tables("local_connections", "SELECT b.c_custkey AS id FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey = 7 AND b.c_custkey <> 7")(lambda s, d: read(s, d, "customer").join(read(s, d, "customer").where("c_custkey = 7").select("c_nationkey"), "c_nationkey", "left_semi").where("c_custkey <> 7").select(F.col("c_custkey").alias("id")))
@@ -252,7 +252,7 @@ def collab(g, who: int) -> DataFrame:
 
 native("collab_filter", f"WITH {BOUGHT} SELECT {PT} + z.p AS id, CAST(count(*) AS BIGINT) AS score FROM b x JOIN b y ON x.p = y.p AND y.c <> 1 JOIN b z ON z.c = y.c WHERE x.c = 1 AND z.p NOT IN (SELECT p FROM b WHERE c = 1) GROUP BY z.p ORDER BY score DESC, id LIMIT 10", ("purchased",))(lambda g: collab(g, C + 1))
 native("popular_unseen", f"WITH {BOUGHT} SELECT {PT} + p AS id, count(*) AS n FROM b WHERE p NOT IN (SELECT p FROM b WHERE c = 1) GROUP BY p ORDER BY n DESC, id LIMIT 10", ("purchased",))(lambda g: g.pairs("purchased").join(g.pairs("purchased").where(F.col("src") == C + 1).select("dst"), "dst", "left_anti").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(10))
-text("product_search", (), PART + ".has('p_type', containing('BRASS')).has('p_retailprice', and(gte(900.0), lte(1200.0))).has('p_size', gte(20))", f"WITH {PA} SELECT id FROM p WHERE contains(p_type, 'BRASS') AND p_retailprice BETWEEN 900 AND 1200 AND p_size >= 20")
+text("product_search", (), PART + ".has('p_type', containing('ECON')).has('p_retailprice', and(gte(900.0), lte(1200.0))).has('p_size', gte(20))", f"WITH {PA} SELECT id FROM p WHERE contains(p_type, 'ECON') AND p_retailprice BETWEEN 900 AND 1200 AND p_size >= 20")
 tables("sales_by_category", "SELECT p_brand, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS sales, sum(CAST(l_quantity AS BIGINT))::BIGINT AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")(lambda s, d: read(s, d, "lineitem").groupBy("l_partkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("e"), F.sum(F.col("l_quantity").cast("long")).alias("q")).join(read(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").groupBy("p_brand").agg(F.sum("e").cast("double").alias("sales"), F.sum("q").alias("quantity")))
 text("top_customers", (), "g.V().hasLabel('customer').order().by('c_acctbal', desc).limit(10)", f"SELECT {C} + c_custkey AS id FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
 
@@ -271,8 +271,7 @@ def comments(s: SparkSession, d: str) -> DataFrame:
     return clicks.orderBy("ts", "event_id").select("event_id", "event_type", F.col("c_name").alias("author"))
 
 
-tables("post_comments_all", "SELECT event_id, event_type, c_name AS author FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'click' ORDER BY ts, event_id")(comments)
-tables("post_comments", "SELECT event_id, event_type, c_name AS author FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'click' ORDER BY ts, event_id LIMIT 20")(lambda s, d: read(s, d, "events").where("event_type = 'click'").join(read(s, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id").orderBy("ts", "event_id").limit(20).select("event_id", "event_type", F.col("c_name").alias("author")))
+tables("post_comments", "SELECT event_id, event_type, c_name AS author FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'click' ORDER BY ts, event_id")(comments)
 
 
 @native("follow_recs", f"WITH {FD}, n AS (SELECT dst FROM f WHERE src = {C + 1} ORDER BY dst LIMIT 10) SELECT f.dst AS id, count(*) AS n FROM n JOIN f ON f.src = n.dst WHERE f.dst <> {C + 1} AND f.dst NOT IN (SELECT dst FROM f WHERE src = {C + 1}) GROUP BY f.dst ORDER BY n DESC, id LIMIT 10")
@@ -285,3 +284,6 @@ def follow_recs(g) -> DataFrame:
 text("user_search", (), "g.V().hasLabel('customer').has('c_name', containing('12')).limit(10)", f"SELECT {C} + c_custkey AS id FROM customer WHERE contains(c_name, '12') ORDER BY 1 LIMIT 10")
 native("profile_bundle", f"WITH {FM} SELECT {C + 1} AS id, (SELECT count(*) FROM fm WHERE src = {C + 1}) AS following, (SELECT count(*) FROM fm WHERE dst = {C + 1}) AS followers, (SELECT c_name FROM customer WHERE c_custkey = 1) AS c_name")(lambda g: g.vertices.where(F.col("id") == C + 1).join(g.edges.agg(F.count_if(F.col("src") == C + 1).alias("following"), F.count_if(F.col("dst") == C + 1).alias("followers")), F.lit(True)).select("id", "following", "followers", "c_name"))
 native("counters", f"WITH {FM} SELECT id, sum(o)::BIGINT AS following, sum(i)::BIGINT AS followers FROM (SELECT src AS id, 1 AS o, 0 AS i FROM fm UNION ALL SELECT dst, 0, 1 FROM fm) GROUP BY id")(lambda g: g.edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).groupBy("e.id").agg(F.sum("e.o").alias("following"), F.sum("e.i").alias("followers")))
+
+
+from meshwright import catalogue_engine  # noqa: E402, F401  adds its queries to the same tables

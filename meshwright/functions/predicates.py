@@ -88,6 +88,26 @@ def property_range(k, low=None, high=None):
     return F.coalesce(reduce(and_, tests, F.col(k).isNotNull()), F.lit(False))
 
 
+def property_greater(k, v):
+    return F.coalesce(F.col(k) > F.lit(v), F.lit(False))
+
+
+def property_less(k, v):
+    return F.coalesce(F.col(k) < F.lit(v), F.lit(False))
+
+
+def vertex_in(ids):
+    return F.col("id").isin(*ids)
+
+
+def degree_greater(n):
+    return F.col("degree") > n
+
+
+def degree_less(n):
+    return F.col("degree") < n
+
+
 def property_exists(k):
     return F.col(k).isNotNull()
 

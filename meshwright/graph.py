@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -19,6 +20,11 @@ class PropertyGraph:
 
     vertices: DataFrame
     edges: DataFrame
+    finder: Callable[[list[int]], DataFrame] | None = None  #: of a source that can look vertices up by id without a full scan
+
+    def lookup(self, ids: list[int]) -> DataFrame:
+        """The vertices with these ids."""
+        return self.vertices.where(F.col("id").isin(*ids)) if self.finder is None else self.finder(ids)
 
     @property
     def spark(self) -> SparkSession:
@@ -35,7 +41,7 @@ class PropertyGraph:
         return edges.select("src", "dst").distinct()
 
     def subgraph(self, *labels: str) -> PropertyGraph:
-        return PropertyGraph(self.vertices, self.edges.where(F.col("label").isin(*labels)))
+        return PropertyGraph(self.vertices, self.edges.where(F.col("label").isin(*labels)), self.finder)
 
     @cached_property
     def vertex_keys(self) -> list[str]:
@@ -112,3 +118,18 @@ class PropertyGraph:
         old = F.col(key) if key in self.vertices.columns else F.lit(None)
         rows = self.vertices.join(hit, "id", "left").withColumn(key, F.when(F.col("__hit"), F.lit(value)).otherwise(old)).drop("__hit")
         return PropertyGraph(rows, self.edges)
+
+    def set_edge_property(self, eids: DataFrame, key: str, value) -> PropertyGraph:
+        hit = eids.select("eid").distinct().withColumn("__hit", F.lit(True))
+        old = F.col(key) if key in self.edges.columns else F.lit(None)
+        rows = self.edges.join(hit, "eid", "left").withColumn(key, F.when(F.col("__hit"), F.lit(value)).otherwise(old)).drop("__hit")
+        return PropertyGraph(self.vertices, rows, self.finder)
+
+    def delete_properties(self, ids: DataFrame, *keys: str) -> PropertyGraph:
+        """Without these properties on these vertices; keys that the graph lacks are passed over."""
+        hit = ids.select("id").distinct().withColumn("__hit", F.lit(True))
+        rows = self.vertices.join(hit, "id", "left")
+        for k in keys:
+            if k in self.vertex_keys:
+                rows = rows.withColumn(k, F.when(F.col("__hit").isNull(), F.col(k)))
+        return PropertyGraph(rows.drop("__hit"), self.edges)

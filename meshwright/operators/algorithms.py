@@ -14,33 +14,73 @@ def spread(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bfs(adj: DataFrame, start: int, max_depth: int = 10) -> DataFrame:
-    """(id, depth) of vertices within ``max_depth`` hops. One join and one anti-join a level, over the frontier only."""
-    spark = adj.sparkSession
-    seen = spark.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"))
-    front = seen = settle(seen)
-    for d in range(1, max_depth + 1):
-        step = front.select(F.col("id").alias("src")).join(adj, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        front = settle(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth"), "parent"))
+def by_source(adj: DataFrame) -> DataFrame:
+    """The edges settled once, partitioned by source, for loops that join them with a frontier."""
+    return settle(adj.select("src", "dst").repartition(spread(adj), "src"), "adj")
+
+
+def levels(adj: DataFrame, start: int, max_depth: int | None = None, target: int | None = None) -> list[DataFrame]:
+    """Breadth-first levels (id, depth, parent), each settled, until the frontier is empty, ``max_depth`` or the ``target`` is met; the parent is the smallest one."""
+    links = by_source(adj)
+    none = F.lit(None).cast("long")
+    seen, since = None, 0  # ids of the first ``since`` levels, settled together now and then so that plans stay small
+    found = [settle(adj.sparkSession.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(0).alias("depth"), none.alias("parent")), "level")]
+    while max_depth is None or len(found) <= max_depth:
+        if target is not None and not found[-1].where(F.col("id") == target).isEmpty():
+            break
+        own = reduce(DataFrame.unionAll, [*([seen] if seen is not None else []), *[f.select("id") for f in found[since:]]])
+        if len(found) - since >= 8:
+            seen, since = settle(own, "seen"), len(found)
+            own = seen
+        step = found[-1].select(F.col("id").alias("src")).join(links, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        front = settle(step.join(own, "id", "left_anti").select("id", F.lit(len(found)).alias("depth"), "parent"), "level")
         if front.isEmpty():
             break
-        seen = seen.unionAll(front)
-    return seen
+        found.append(front)
+    return found
+
+
+def bfs(adj: DataFrame, start: int, max_depth: int | None = 10) -> DataFrame:
+    """(id, depth, parent) of vertices within ``max_depth`` hops, of all that can be reached if it is None."""
+    return reduce(DataFrame.unionAll, levels(adj, start, max_depth))
+
+
+def shortest_path(adj: DataFrame, start: int, end: int, max_depth: int | None = None) -> DataFrame:
+    """(pos, id) of a shortest path, ties by the smallest parent; empty if there is none (of ``max_depth`` hops or fewer)."""
+    found = levels(adj, start, max_depth, end)
+    at = found[-1].where(F.col("id") == end)  # the search stops at the level of the target, so that it is there or nowhere
+    steps = [at]
+    for level in reversed(found[:-1]):
+        at = level.join(at.select(F.col("parent").alias("id")), "id").select("id", "depth", "parent")
+        steps.append(at)
+    return reduce(DataFrame.unionAll, steps).select(F.col("depth").alias("pos"), "id")
+
 
+def dfs(adj: DataFrame, start: int, max_depth: int = 10, most: int = 1_000_000) -> DataFrame:
+    """(pos, id, depth) in depth-first preorder, neighbours by id. A preorder is a chain of steps, so it runs on the driver.
 
-def shortest_path(adj: DataFrame, start: int, end: int, max_depth: int = 64) -> DataFrame:
-    """(pos, id) of a shortest path, ties by the smallest parent; empty if there is none."""
-    tree = settle(bfs(adj, start, max_depth).select("id", "depth", "parent"))
-    row = tree.where(F.col("id") == end).first()
-    steps = []
-    while row is not None:  # as many lookups as the path is long
-        steps.append((row["depth"], row["id"]))
-        row = None if row["parent"] is None else tree.where((F.col("id") == row["parent"]) & (F.col("depth") == row["depth"] - 1)).first()
-    return adj.sparkSession.createDataFrame(steps, "pos int, id bigint")
+    Only graphs of at most ``most`` edges within reach are taken; larger ones raise ValueError before anything is fetched.
+    """
+    inside = bfs(adj, start, max_depth).select(F.col("id").alias("src"))
+    near = settle(adj.join(inside, "src", "left_semi").select("src", "dst"), "dfs")
+    if near.count() > most:
+        raise ValueError(f"more than {most} edges within {max_depth} hops")
+    after: dict[int, list[int]] = {}
+    for r in near.orderBy("src", "dst").collect():
+        after.setdefault(r["src"], []).append(r["dst"])
+    out, seen, stack = [], set(), [(start, 0)]
+    while stack:
+        v, depth = stack.pop()
+        if v in seen or depth > max_depth:
+            continue
+        seen.add(v)
+        out.append((len(out), v, depth))
+        stack += [(w, depth + 1) for w in reversed(after.get(v, [])) if w not in seen]
+    return adj.sparkSession.createDataFrame(out, "pos int, id bigint, depth int")
 
 
 def sssp(adj: DataFrame, start: int) -> DataFrame:
-    return bfs(adj, start, 10_000).select("id", F.col("depth").cast("double").alias("distance"))
+    return bfs(adj, start, None).select("id", F.col("depth").cast("double").alias("distance"))
 
 
 def k_hop(adj: DataFrame, start: int, k: int, shortest: bool = False) -> DataFrame:
@@ -78,7 +118,8 @@ def components(vertices: DataFrame, adj: DataFrame) -> DataFrame:
     """(id, component): weak components of the subgraph of ``vertices`` by least label, with pointer jumping."""
     ids = vertices.select("id")
     inner = adj.where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    edges = settle(inner.unionAll(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().repartition(spread(adj), "src"))
+    inner = inner.select("src", "dst")  # a semi-join moves its key to the front
+    edges = settle(inner.unionAll(inner.select("dst", "src")).distinct().repartition(spread(adj), "src"))
     state = settle(ids.select("id", F.col("id").alias("component")))
     while True:
         near = edges.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("near"))
@@ -106,19 +147,37 @@ def range_bfs(adj: DataFrame, start: int, a: int, b: int, max_depth: int = 10) -
     return bfs(adj, start, max_depth).select("id", "depth", F.col("id").between(a, b).alias("in_range"))
 
 
-def range_aware_distances(adj: DataFrame, start: int, ranges: list[tuple[int, int]], inside: float = 0.8, max_rounds: int = 64) -> DataFrame:
+def range_aware_distances(adj: DataFrame, start: int, ranges: list[tuple[int, int]], inside: float = 0.8) -> DataFrame:
     """(id, weight): least path weight, where a hop into a preferred range costs ``inside`` and any other 1; by relaxation."""
     hit = reduce(lambda x, y: x | y, [F.col("dst").between(a, b) for a, b in ranges], F.lit(False))
     edges = settle(adj.select("src", "dst", F.when(hit, inside).otherwise(1.0).alias("w")))
     best = settle(adj.sparkSession.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(0.0).alias("weight")))
     front = best
-    for _ in range(max_rounds):
+    while True:
         near = front.withColumnRenamed("id", "src").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.round(F.col("weight") + F.col("w"), 9)).alias("near"))
         merged = settle(best.join(near, "id", "full").select("id", F.least("weight", "near").alias("weight"), (F.col("near") < F.coalesce("weight", F.lit(float("inf")))).alias("better")))
         best, front = merged.select("id", "weight"), settle(merged.where("better").select("id", "weight"))
         if front.isEmpty():
-            break
-    return best
+            return best
+
+
+def range_aware_path(adj: DataFrame, start: int, end: int, ranges: list[tuple[int, int]], inside: float = 0.8) -> DataFrame:
+    """(pos, id, weight) of a lightest path by range_aware_distances, ties by the smallest predecessor; empty if there is none."""
+    best = settle(range_aware_distances(adj, start, ranges, inside))
+    hit = reduce(lambda x, y: x | y, [F.col("dst").between(a, b) for a, b in ranges], F.lit(False))
+    from_, to = (best.select(F.col("id").alias(c), F.col("weight").alias(f"w_{c}")) for c in ("src", "dst"))
+    steps = adj.where(F.col("dst") != start).select("src", "dst", F.when(hit, inside).otherwise(1.0).alias("w")).join(from_, "src").join(to, "dst")
+    light = steps.where(F.round(F.col("w_src") + F.col("w"), 9) == F.col("w_dst"))
+    parent = settle(light.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")))
+    rows = best.where(F.col("id") == end)
+    at = settle(rows.join(parent, "id", "left").select("id", "weight", "parent"))
+    path = [at]
+    while not at.where("parent IS NOT NULL").isEmpty():  # one row a step
+        up = at.select(F.col("parent").alias("id")).join(best, "id")
+        at = settle(up.join(parent, "id", "left").select("id", "weight", "parent"))
+        path.append(at)
+    n = len(path)
+    return reduce(DataFrame.unionAll, [d.select(F.lit(n - 1 - i).alias("pos"), "id", "weight") for i, d in enumerate(path)])
 
 
 def match(vertices: DataFrame, edges: DataFrame, pattern: list[tuple[str, str, str | None]], where: dict | None = None, limit: int | None = None, least: int = 0) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,16 +43,49 @@ def morris_error(exponent: Column) -> Column:
     return 1.04 / F.sqrt(F.pow(F.lit(2.0), exponent))
 
 
-#: Upper bounds of the latency histogram in milliseconds.
-BOUNDS = (0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0)
+def optimal_ratio(average_degree: Column, c: Config = Config(), id_bytes: float = 1.0) -> Column:
+    """Lookups per update at which both update methods cost the same; 1 without degrees."""
+    top = (c.size_ratio - 1) * ((average_degree + 2) * (id_bytes * c.size_ratio * c.levels) + 2 * c.block_bytes)
+    return F.when(average_degree == 0, 1.0).otherwise(top / F.greatest(average_degree * c.block_bytes, F.lit(1e-300)))
 
 
-def bucket(latency: Column) -> Column:
-    out = F.lit(5000.0)
-    for b in reversed(BOUNDS):
-        out = F.when(latency <= b, b).otherwise(out)
+def degree_threshold(lookups: Column, updates: Column, average_degree: Column, c: Config = Config(), id_bytes: float = 1.0) -> Column:
+    """The degree from which a delta update is cheaper, a whole number; 0 without updates."""
+    spread = c.size_ratio * c.levels + 1
+    first = lookups * average_degree * c.block_bytes / F.greatest(updates * (id_bytes * (c.size_ratio - 1) * spread), F.lit(1e-300))
+    least = first - 2 * c.block_bytes / (id_bytes * spread) - 1 / spread
+    return F.when(updates == 0, F.lit(0).cast("long")).otherwise(F.floor(F.greatest(least, F.lit(0.0))))
+
+
+def trend(overall: Column, recent: Column) -> Column:
+    """How the share of lookups among recent operations differs from that among all."""
+    more = recent - overall
+    return F.when(F.abs(more) < 0.05, "Stable").when(F.abs(more) > 0.3, "Volatile").when(more > 0, "IncreasingReads").otherwise("IncreasingWrites")
+
+
+#: Upper bounds of the latency histogram in milliseconds, and what stands for all above.
+BOUNDS = (0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0, 1000.0, 2000.0, 5000.0)
+ABOVE = 5000.0
+
+
+def slot(latency: Column) -> Column:
+    """The number of the bucket, len(BOUNDS) for values above all bounds."""
+    out = F.lit(len(BOUNDS))
+    for i, b in reversed(list(enumerate(BOUNDS))):
+        out = F.when(latency <= b, i).otherwise(out)
     return out
 
 
-def rank_of(share: float, n: int) -> int:
-    return max(1, math.ceil(share * n))
+def bucket(latency: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, (*BOUNDS, ABOVE))), slot(latency) + 1)
+
+
+def percentiles(rows: DataFrame, latency: str, shares: list[float]) -> DataFrame:
+    """(share, latency): the bound of the first bucket up to which the whole part of ``share`` percent of the rows lies; 0 without rows."""
+    counts = rows.where(F.col(latency).isNotNull()).groupBy(slot(F.col(latency)).alias("slot"), bucket(F.col(latency)).alias("bound")).agg(F.count("*").alias("n"))
+    # At most one row a bucket.
+    ordered = counts.withColumn("upto", F.sum("n").over(Window.orderBy("slot"))).withColumn("total", F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    # A share so small that no whole row belongs to it is met by the first bucket, empty or not.
+    firsts = [F.when(F.floor(F.lit(p) / 100 * F.max("total")) == 0, BOUNDS[0]).otherwise(F.min(F.when(F.col("upto") >= F.floor(F.lit(p) / 100 * F.col("total")), F.col("bound")))) for p in shares]
+    one = ordered.agg(*[F.coalesce(f, F.lit(0.0)).alias(f"p{i}") for i, f in enumerate(firsts)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(float(p)).alias("share"), F.col(f"p{i}").alias("latency")) for i, p in enumerate(shares)])).alias("e")).select("e.*")

@@ -95,7 +95,7 @@ def run(steps: tuple[Step, ...], f: Frame, paths: bool = False) -> Frame:
 
 def start_v(f: Frame, args, after) -> Frame:
     g = f.graph
-    rows = g.vertices.where(F.col("id").isin(*args)) if args else g.vertices
+    rows = g.lookup(list(args)) if args else g.vertices
     return f.on(rows.select(F.col("id").alias("cur"), F.col("label").alias("p_label"), *[F.col(k).alias(f"p_{k}") for k in g.vertex_keys]), "vertex")
 
 
@@ -247,6 +247,12 @@ def where(f: Frame, args, after) -> Frame:
             return has(f, p[0].args, after)
         if len(p) == 1 and p[0].name in ("without", "within", "neq"):
             return where(f, (P(p[0].name, p[0].args),), after)
+        if f.kind in ("vertex", "edge") and not f.carried:
+            # The test depends on the element alone, so each is asked once, by its own id.
+            tid = f"__t{next(_number)}"
+            asked = f.on(f.rows.dropDuplicates(["cur"]).withColumn(tid, F.col("cur")))
+            hits = run(p, asked).rows.select(F.col(tid).alias("cur")).distinct()
+            return f.on(f.rows.join(hits, "cur", "left_semi"))
         f, tid = numbered(f)
         hits = run(p, f).rows.select(tid).distinct()
         return f.on(f.rows.join(hits, tid, "left_semi").drop(tid))
@@ -398,7 +404,8 @@ def order(f: Frame, args, after) -> Frame:
     if args and isinstance(args[0], Name) and args[0].word == "local":  # of a group count: its entries
         by = after[0].args if after else ()
         words = [a.word for a in by if isinstance(a, Name)]
-        column = F.col("key") if "keys" in words else F.col("cnt")
+        size = F.col("cnt") if "cnt" in f.rows.columns else F.size("members")
+        column = F.col("key") if "keys" in words else size
         first = column.desc() if "desc" in words else column.asc()
         return replace(f, sort=(first, F.col("key").asc()))
     sort = []
@@ -418,11 +425,23 @@ def window(f: Frame, skip: int, take: int | None) -> Frame:
         rows = f.rows.withColumn("__n", F.row_number().over(Window.partitionBy(f.scope).orderBy(*sort)))
         test = F.col("__n") > skip
         return f.on(rows.where(test if take is None else test & (F.col("__n") <= skip + take)).drop("__n"))
+    if skip and take is None:
+        return f.on(after_first(f.rows, skip, sort), sort=f.sort)
     rows = f.rows.orderBy(*sort)
     rows = rows.offset(skip) if skip else rows
     return f.on(rows if take is None else rows.limit(max(0, take)), sort=f.sort)
 
 
+def after_first(rows: DataFrame, skip: int, sort) -> DataFrame:
+    """``rows`` behind the first ``skip`` in order: numbered inside range partitions, whose sizes, a row each, give the offsets."""
+    placed = settle(rows.orderBy(*sort).withColumn("__p", F.spark_partition_id()))
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__p", before.alias("__before"))
+    numbered_ = placed.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*sort)))
+    return numbered_.join(F.broadcast(offsets), "__p").where(F.col("__before") + F.col("__n") > skip).drop("__p", "__n", "__before")
+
+
 # Branching
 
 
@@ -520,8 +539,11 @@ def add_e(f: Frame, args, after) -> Frame:
 
 
 def set_property(f: Frame, args, after) -> Frame:
-    need(f, "vertex")
     key, value = args
+    if f.kind == "edge":
+        g2 = f.graph.set_edge_property(f.rows.select(F.col("cur").alias("eid")), key, value)
+        return Frame(g2, f.rows.withColumn(f"p_{key}", F.lit(value)), "edge", f.saved)
+    need(f, "vertex")
     g2 = f.graph.set_property(f.rows.select(F.col("cur").alias("id")), key, value)
     return Frame(g2, f.rows.withColumn(f"p_{key}", F.lit(value)), "vertex", f.saved)
 

@@ -5,7 +5,6 @@ from collections import Counter
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from meshwright.catalogue import QUERIES, SQL
 
@@ -43,12 +42,6 @@ def test_query(spark, duck, name):
     assert rows == want
 
 
-def test_all_comments(spark):
-    clicks = [r[0] for r in spark.read.parquet(f"{SF}/events.parquet").join(spark.read.parquet(f"{SF}/customer.parquet"), F.col("user_id") == F.col("c_custkey")).where("event_type = 'click'").orderBy("ts", "event_id").select("event_id").collect()]
-    assert len(clicks) > 20
-    assert [r["event_id"] for r in QUERIES["post_comments_all"](spark, SF).collect()] == clicks
-
-
 def test_components_of_all_customers(spark):
     d = "/root/testdata/sf0.01"
     root = {3_000_000_000 + r[0]: 3_000_000_000 + r[0] for r in spark.read.parquet(f"{d}/customer.parquet").select("c_custkey").collect()}
@@ -64,4 +57,4 @@ def test_components_of_all_customers(spark):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     assert len(root) > 300
-    assert {r["id"]: r["component"] for r in QUERIES["components_all"](spark, d).collect()} == {i: find(i) for i in root}
+    assert {r["id"]: r["component"] for r in QUERIES["components"](spark, d).collect()} == {i: find(i) for i in root}
