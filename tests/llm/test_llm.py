@@ -410,13 +410,24 @@ def recall(spark, rows, more=()):
     return out
 
 
-@pytest.mark.parametrize("times", [0.01, 2, 5])
+@pytest.mark.parametrize("times", [0.01, 2, 5, 1000])
 def test_neighbours_at_any_scale(spark, times):
     rows = [(r["vec_id"], [times * c for c in r["embedding"]]) for r in spark.read.parquet(f"{MID}/embeddings.parquet").collect()]
     found = recall(spark, rows).values()
     assert sum(found) / len(found) >= 0.9
 
 
+def test_neighbours_in_clusters(spark):
+    import random
+
+    rng = random.Random(6)
+    seen = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{MID}/embeddings.parquet").collect()]
+    centres = [[rng.gauss(0, 1) for _ in seen[0][1]] for _ in range(12)]
+    rows = [(i, [a + 0.05 * b for a, b in zip(centres[rng.randrange(12)], v)]) for i, v in seen]
+    found = recall(spark, rows).values()
+    assert sum(found) / len(found) >= 0.9
+
+
 def test_neighbours_of_a_long_query(spark):
     rows = [(r["vec_id"], [(4 if r["vec_id"] == 100 else 1) * c for c in r["embedding"]]) for r in spark.read.parquet(f"{MID}/embeddings.parquet").collect()]
     assert recall(spark, rows)[100] == 1
