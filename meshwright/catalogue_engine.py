@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.catalogue import CU, FD, FM, PA, PT, C, native, tables
+from meshwright.catalogue import CU, FD, FM, PA, PT, C, O, native, tables
 from meshwright.functions import predicates as p
 from meshwright.operators import algorithms as alg
+from meshwright.operators import apps
 from meshwright.operators import costmodel as cost
 from meshwright.operators import engine, merge
 from meshwright.sources import sinks
@@ -104,3 +105,62 @@ native("store", f"WITH {FD} SELECT b.dst AS id FROM f a JOIN f b ON a.dst = b.sr
 )
 native("order_local_group", f"WITH {CU} SELECT c_mktsegment AS key, count(*) AS n FROM c GROUP BY c_mktsegment", NONE)(lambda g: g.query("g.V().hasLabel('customer').group().by('c_mktsegment').order(local).by(values, desc)").df.select("key", F.size("members").cast("long").alias("n")))
 native("fluent", f"WITH {FD} SELECT count(*) AS value FROM f a JOIN f b ON a.dst = b.src WHERE a.src = {C + 1}", FOLLOWS)(lambda g: g.g.V(C + 1).out("follows").out("follows").count().df)
+native("has_key_step", "SELECT count(*) AS value FROM part WHERE p_brand IS NOT NULL", NONE)(lambda g: g.query("g.V().hasKey('p_brand').count()").df)
+
+# edges and properties by id
+E7 = 7_000_000_000_000
+
+
+def with_registered(g):
+    fresh = g.edges.where(F.col("eid").between(E7, E7 + 40)).select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("replied").alias("label"))
+    new = g.spark.range(1).select(F.lit(E7 - 1).alias("eid"), F.lit(C + 1).alias("src"), F.lit(C + 2).alias("dst"), F.lit("replied").alias("label"))
+    return g.register_edges(fresh.unionByName(new))
+
+
+native(
+    "register_edge",
+    f"WITH {FM} SELECT eid, CASE WHEN eid <= {E7 + 40} THEN dst ELSE src END AS src, CASE WHEN eid <= {E7 + 40} THEN src ELSE dst END AS dst, CASE WHEN eid <= {E7 + 40} THEN 'replied' ELSE 'follows' END AS label FROM fm UNION ALL SELECT {E7 - 1}, {C + 1}, {C + 2}, 'replied'",
+    FOLLOWS,
+)(lambda g: with_registered(g).edges)
+native("edge_properties", f"WITH {FM} SELECT eid, 'close' AS kind, NULL::VARCHAR AS absent FROM fm WHERE eid = (SELECT min(eid) FROM fm WHERE eid >= {E7})", FOLLOWS)(
+    lambda g: g.set_edge_property(g.edges, "kind", "close").edge_properties(E7, "kind", "absent")
+)
+native("set_properties", f"WITH {CU} SELECT id, CASE WHEN id < {C + 20} THEN 'X' ELSE c_name END AS c_name, c_mktsegment, CASE WHEN id < {C + 20} THEN 7 END AS rank FROM c", NONE)(
+    lambda g: g.set_properties(g.vertices.where(F.col("id") < C + 20), {"c_name": "X", "rank": 7}).vertices.where("label = 'customer'").select("id", "c_name", "c_mktsegment", "rank")
+)
+native("property_samples", f"WITH {PA} SELECT id, p_brand AS value FROM p WHERE p_brand IS NOT NULL ORDER BY id LIMIT 10", NONE)(lambda g: g.samples("p_brand"))
+_held = f"{FD}, n AS (SELECT src % 97 AS cell, count(*) AS n FROM f GROUP BY ALL), e AS (SELECT *, CAST(floor(log2(n / 16.0 + 1)) AS BIGINT) AS exponent FROM n), h AS (SELECT cell, exponent, CAST(floor((n - (pow(2, exponent) - 1) * 16) / pow(2, exponent)) AS BIGINT) AS mantissa FROM e)"
+_est = "((pow(2, exponent) - 1) * 16 + pow(2, exponent) * mantissa)"
+native("degree_sketch", f"WITH {_held} SELECT * FROM h", FOLLOWS)(lambda g: cost.sketch(g.degrees(), 97))
+native("degree_sketch_statistics", f"WITH {_held} SELECT count(*) AS active, sum({_est}) AS total, max({_est}) AS highest, min({_est}) AS lowest, avg({_est}) AS mean, (sum(1.04 / sqrt(pow(2, exponent))) + (97 - count(*)) * 1.04) / count(*) AS mean_error FROM h", FOLLOWS)(
+    lambda g: cost.sketch_statistics(cost.sketch(g.degrees(), 97), 97)
+)
+
+# social application
+
+
+def with_likes(g):
+    likes = g.vertices.where((F.col("label") == "order") & (F.col("id") % 3 == 0)).select((F.col("id") + 10**15).alias("eid"), F.lit(C + 1).alias("src"), F.col("id").alias("dst"), F.lit("liked").alias("label"))
+    return g.add_edges(likes)
+
+
+native(
+    "timeline_liked",
+    f"WITH {FD}, n AS (SELECT dst FROM f WHERE src = {C + 1} ORDER BY dst LIMIT 50) SELECT {O} + o_orderkey AS id, dst AS author, o_orderdate, ({O} + o_orderkey) % 3 = 0 AS user_liked FROM n JOIN orders ON {C} + o_custkey = dst ORDER BY o_orderdate DESC, id LIMIT 20",
+    ("placed", "follows"),
+)(lambda g: apps.timeline(with_likes(g), C + 1, "follows", "placed", "liked", "o_orderdate"))
+for _name, _user, _viewer in (("profile", "(SELECT min(dst) FROM f WHERE src = 3000000001)", C + 1), ("profile_of_stranger", str(C + 2), C + 1)):
+    native(
+        _name,
+        f"WITH {FD}, u AS (SELECT {_user} AS id) SELECT u.id, c_name, c_mktsegment, EXISTS (SELECT 1 FROM f WHERE src = {_viewer} AND dst = u.id) AS following, EXISTS (SELECT 1 FROM f WHERE src = u.id AND dst = {_viewer}) AS followed_by, {O} + o_orderkey AS post, o_orderdate "
+        f"FROM u JOIN customer ON {C} + c_custkey = u.id LEFT JOIN (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey) ON o_custkey = c_custkey ORDER BY o_orderdate DESC, post LIMIT 20",
+        ("placed", "follows"),
+    )(
+        lambda g, stranger=_name != "profile", viewer=_viewer: apps.profile(
+            g, C + 2 if stranger else g.pairs("follows").where(F.col("src") == viewer).agg(F.min("dst")).first()[0], viewer, "follows", "placed", "o_orderdate", ["c_name", "c_mktsegment"]
+        )
+    )
+native("user_search_any", f"WITH {CU} SELECT id FROM c WHERE contains(c_name, '12') OR contains(c_mktsegment, '12') ORDER BY id LIMIT 10", NONE)(lambda g: apps.search(g, "customer", "12", ["c_name", "c_mktsegment"]))
+tables("counters_clamped", "SELECT user_id, (sum(d) - least(min(s), 0))::BIGINT AS n FROM (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END AS d FROM events)) GROUP BY user_id")(
+    lambda s, d: apps.clamped(read(s, d, "events").withColumn("d", F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", -1).otherwise(0)), "user_id", "event_id", "d", block=1024)
+)

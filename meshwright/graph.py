@@ -87,6 +87,10 @@ class PropertyGraph:
     def outgoing(self, v: int, label: str | None = None) -> DataFrame:
         return self.edges.where((F.col("src") == v) & (F.lit(True) if label is None else F.col("label") == label))
 
+    def outgoing_of(self, ids: DataFrame, label: str) -> DataFrame:
+        """The edges of one label that begin at ``ids``, a column ``src``."""
+        return self.edges.where(F.col("label") == label).join(ids, "src", "left_semi")
+
     def incoming(self, v: int, label: str | None = None) -> DataFrame:
         return self.edges.where((F.col("dst") == v) & (F.lit(True) if label is None else F.col("label") == label))
 
@@ -101,12 +105,26 @@ class PropertyGraph:
         kind = dict(self.vertices.dtypes)[key]
         return self.vertices.agg(F.lit(key).alias("key"), F.lit(kind).alias("type"), F.count(key).alias("n"), F.countDistinct(key).alias("n_distinct"))
 
+    def samples(self, key: str, limit: int = 10) -> DataFrame:
+        """(id, value): the first values of a property, by id."""
+        return self.vertices.where(F.col(key).isNotNull()).select("id", F.col(key).alias("value")).orderBy("id").limit(limit)
+
+    def edge_properties(self, eid: int, *keys: str) -> DataFrame:
+        """One row with an edge's properties; no row if there is no such edge, null for a property that it lacks."""
+        own = [F.col(k) if k in self.edge_keys else F.lit(None).cast("string").alias(k) for k in keys or self.edge_keys]
+        return self.edges.where(F.col("eid") == eid).select("eid", *own)
+
     # Mutations.
     def add_vertices(self, rows: DataFrame) -> PropertyGraph:
         return PropertyGraph(self.vertices.unionByName(rows, allowMissingColumns=True), self.edges)
 
     def add_edges(self, rows: DataFrame) -> PropertyGraph:
-        return PropertyGraph(self.vertices, self.edges.unionByName(rows, allowMissingColumns=True))
+        return PropertyGraph(self.vertices, self.edges.unionByName(rows, allowMissingColumns=True), self.finder)
+
+    def register_edges(self, rows: DataFrame) -> PropertyGraph:
+        """With these edges, each of which takes the place of the one with its eid. ``rows`` has each eid once."""
+        rest = self.edges.join(rows.select("eid"), "eid", "left_anti").select(*self.edges.columns)
+        return PropertyGraph(self.vertices, rest.unionByName(rows, allowMissingColumns=True), self.finder)
 
     def delete_vertices(self, ids: DataFrame) -> PropertyGraph:
         gone = ids.select("id")
@@ -114,10 +132,16 @@ class PropertyGraph:
         return PropertyGraph(self.vertices.join(gone, "id", "left_anti"), edges.select(*self.edges.columns))
 
     def set_property(self, ids: DataFrame, key: str, value) -> PropertyGraph:
+        return self.set_properties(ids, {key: value})
+
+    def set_properties(self, ids: DataFrame, values: dict) -> PropertyGraph:
+        """With these properties on these vertices; their other properties stay."""
         hit = ids.select("id").distinct().withColumn("__hit", F.lit(True))
-        old = F.col(key) if key in self.vertices.columns else F.lit(None)
-        rows = self.vertices.join(hit, "id", "left").withColumn(key, F.when(F.col("__hit"), F.lit(value)).otherwise(old)).drop("__hit")
-        return PropertyGraph(rows, self.edges)
+        rows = self.vertices.join(hit, "id", "left")
+        for key, value in values.items():
+            old = F.col(key) if key in self.vertices.columns else F.lit(None)
+            rows = rows.withColumn(key, F.when(F.col("__hit"), F.lit(value)).otherwise(old))
+        return PropertyGraph(rows.drop("__hit"), self.edges)
 
     def set_edge_property(self, eids: DataFrame, key: str, value) -> PropertyGraph:
         hit = eids.select("eid").distinct().withColumn("__hit", F.lit(True))

@@ -43,6 +43,31 @@ def morris_error(exponent: Column) -> Column:
     return 1.04 / F.sqrt(F.pow(F.lit(2.0), exponent))
 
 
+def sketch(degrees: DataFrame, cells: int) -> DataFrame:
+    """(cell, exponent, mantissa): the degrees (id, degree), added up by hashed cell, as counters with 4 bits of mantissa.
+
+    A counter here holds the greatest state whose estimate is at most the exact sum, where counters of a write path move at
+    random. Cells without a degree have no row.
+    """
+    sums = degrees.groupBy(F.pmod("id", F.lit(cells)).alias("cell")).agg(F.sum("degree").alias("n")).where("n > 0")
+    power = (F.length(F.bin(F.floor(F.col("n") / 16) + 1)) - 1).cast("long")  # the whole part of log2, exact at powers of 2
+    held = sums.withColumn("exponent", power).withColumn("scale", F.pow(F.lit(2.0), "exponent").cast("long"))
+    return held.select("cell", "exponent", F.floor((F.col("n") - (F.col("scale") - 1) * 16) / F.col("scale")).alias("mantissa"))
+
+
+def sketch_statistics(held: DataFrame, cells: int) -> DataFrame:
+    """One row on a sketch: active cells, sum, highest, lowest and mean estimate of those, mean relative error.
+
+    A cell without a degree adds its error of 1.04 to the sum that is divided by the active cells.
+    """
+    n, error = morris_estimate(F.col("exponent"), F.col("mantissa")), morris_error(F.col("exponent"))
+    seen = held.agg(F.count("*").alias("active"), F.sum(n).alias("total"), F.max(n).alias("highest"), F.min(n).alias("lowest"), F.sum(error).alias("error"))
+    share = lambda x: F.when(F.col("active") > 0, x / F.col("active")).otherwise(0.0)
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("total", "highest", "lowest")]
+    idle = (F.lit(cells) - F.col("active")) * 1.04
+    return seen.select("active", *zero, share(F.col("total")).alias("mean"), share(F.col("error") + idle).alias("mean_error"))
+
+
 def optimal_ratio(average_degree: Column, c: Config = Config(), id_bytes: float = 1.0) -> Column:
     """Lookups per update at which both update methods cost the same; 1 without degrees."""
     top = (c.size_ratio - 1) * ((average_degree + 2) * (id_bytes * c.size_ratio * c.levels) + 2 * c.block_bytes)

@@ -154,3 +154,19 @@ def test_point_lookups_reach_the_scan(spark):
     plan = g.query("g.V(3000000007)").df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "EqualTo(c_custkey,7)" in plan.split("PushedFilters")[1]
     assert [tuple(r) for r in g.query("g.V(3000000007, 1000000001, 99)").df.orderBy("id").collect()] == [(1000000001,), (3000000007,)]
+
+
+def test_clamped_counters_in_order(spark):
+    from random import Random
+
+    from meshwright.operators.apps import clamped
+
+    rng = Random(3)
+    log = [(rng.choice("aab"), i, rng.choice([1, -1, -2, 3, None])) for i in range(400)] + [(None, 1, 1), ("c", None, 1), ("d", 5, -3)]
+    want = {"d": 0}
+    for key, at, change in log[:400]:
+        want[key] = max(0, want.get(key, 0) + (change or 0))
+    df = spark.createDataFrame(log, "key string, at long, change int")
+    for block in (7, 64, 1 << 16):
+        assert {r["key"]: r["n"] for r in clamped(df, "key", "at", "change", block).collect()} == want
+    assert clamped(df.limit(0), "key", "at", "change").count() == 0
