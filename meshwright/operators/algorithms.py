@@ -181,32 +181,55 @@ def range_aware_path(adj: DataFrame, start: int, end: int, ranges: list[tuple[in
 
 
 def match(vertices: DataFrame, edges: DataFrame, pattern: list[tuple[str, str, str | None]], where: dict | None = None, limit: int | None = None, least: int = 0) -> DataFrame:
-    """All injective matches: one column a pattern vertex. ``pattern``: (from, to, edge label); ``where``: a Column of vertex properties by pattern vertex."""
-    rows, bound = None, []
-    for i, (s, t, label) in enumerate(pattern):
-        e = (edges if label is None else edges.where(F.col("label") == label)).select(F.col("src").alias(f"__s{i}"), F.col("dst").alias(f"__t{i}")).distinct()
-        if rows is None:
-            rows = e.withColumnRenamed(f"__s{i}", s).withColumnRenamed(f"__t{i}", t)
-            rows, new = (rows.where(F.col(s) != F.col(t)), [s, t])
-        else:
-            known = [c for c in (s, t) if c in bound]
-            test = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__s{i}" if c == s else f"__t{i}") for c in known])
-            rows = rows.join(e, test)
-            new = [c for c in (s, t) if c not in bound]
-            for c in new:
-                rows = rows.withColumn(c, F.col(f"__s{i}" if c == s else f"__t{i}"))
-            rows = rows.drop(f"__s{i}", f"__t{i}")
-            for c in new:
-                for b in bound:
-                    rows = rows.where(F.col(c) != F.col(b))
-        bound += [c for c in new if c not in bound]
-        for c in new:
-            if where and c in where:
-                rows = rows.join(vertices.where(where[c]).select(F.col("id").alias(c)), c, "left_semi")
-    rows = rows.select(*bound)
+    """All injective matches: one column a pattern vertex. ``pattern``: (from, to, edge label); ``where``: a Column of vertex properties by pattern vertex.
+
+    Tests of vertices apply to the edges before any join. A triangle is found from its corner of least degree, so that a
+    hub's pairs of neighbours are never listed; other patterns join their edges in the order given.
+    """
+    passing = {c: vertices.where(test).select(F.col("id").alias(c)) for c, test in (where or {}).items()}
+
+    def pairs(s: str, t: str, label: str | None) -> DataFrame:
+        rows = (edges if label is None else edges.where(F.col("label") == label)).where("src <> dst").select(F.col("src").alias(s), F.col("dst").alias(t)).distinct()
+        for c in (s, t):
+            rows = rows.join(passing[c], c, "left_semi") if c in passing else rows
+        return rows.select(s, t)
+
+    names = list(dict.fromkeys(c for s, t, _ in pattern for c in (s, t)))
+    if len(pattern) == 3 and len(names) == 3 and len({frozenset(e[:2]) for e in pattern}) == 3:
+        rows = triangles(edges, pattern, pairs)
+    else:
+        rows, bound = None, []
+        for s, t, label in pattern:
+            e, known = pairs(s, t, label), [c for c in (s, t) if c in bound]
+            rows = e if rows is None else rows.join(e, known) if known else rows.crossJoin(e)  # a pattern of parts that don't touch is a product
+            for c in (s, t):
+                if c not in bound:
+                    for b in bound:
+                        rows = rows.where(F.col(c) != F.col(b))
+                    bound.append(c)
+    rows = rows.select(*names)
     if least and rows.limit(least).count() < least:
         return rows.limit(0)
-    return rows if limit is None else rows.orderBy(*bound).limit(limit)
+    return rows if limit is None else rows.orderBy(*names).limit(limit)
+
+
+def triangles(edges: DataFrame, pattern: list[tuple[str, str, str | None]], pairs) -> DataFrame:
+    """Matches of three pattern edges over three vertices. Each has one corner of least rank (degree, then id); the two edges
+    at that corner meet first, both leading to higher ranks, and the third edge closes them: at most m ** 1.5 pairs."""
+    ends = edges.select("src", "dst").where("src <> dst").distinct()
+    ranks = settle(ends.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("rank")))
+
+    def up(e: DataFrame, low: str, high: str) -> DataFrame:
+        for c in (low, high):
+            e = e.join(ranks.select(F.col("id").alias(c), F.col("rank").alias(f"__{c}")), c)
+        return e.where(F.struct(f"__{low}", low) < F.struct(F.col(f"__{high}").alias(f"__{low}"), F.col(high).alias(low))).select(low, high)
+
+    found = []
+    for low in dict.fromkeys(c for s, t, _ in pattern for c in (s, t)):
+        at = [up(pairs(*e), low, e[1] if e[0] == low else e[0]) for e in pattern if low in e[:2]]
+        closing = next(e for e in pattern if low not in e[:2])
+        found.append(at[0].join(at[1], low).where(F.col(closing[0]) != F.col(closing[1])).join(pairs(*closing), list(closing[:2])))
+    return reduce(DataFrame.unionByName, found)
 
 
 def random_walk(adj: DataFrame, start: int, hops: int = 5, seed: int = 12345) -> DataFrame:
@@ -227,8 +250,6 @@ def network_metrics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def locality(adj: DataFrame) -> DataFrame:
-    """(id, score): exp(-mean gap / 1e6) over a vertex's sorted neighbours."""
-    own = adj.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("d"))
-    gaps = F.zip_with(F.slice("d", 1, F.size("d") - 1), F.slice("d", 2, F.size("d") - 1), lambda a, b: (b - a).cast("double"))
-    mean = F.aggregate(gaps, F.lit(0.0), lambda x, y: x + y) / F.greatest(F.size(gaps), F.lit(1))
-    return own.select(F.col("src").alias("id"), F.exp(-mean / 1e6).alias("score"))
+    """(id, score): exp(-mean gap / 1e6) over a vertex's sorted neighbours, whose gaps add up to the distance of the ends."""
+    span = F.max("dst") - F.min("dst")
+    return adj.groupBy(F.col("src").alias("id")).agg(F.exp(-span / F.greatest(F.count("*") - 1, F.lit(1)) / 1e6).alias("score"))

@@ -170,3 +170,35 @@ def test_clamped_counters_in_order(spark):
     for block in (7, 64, 1 << 16):
         assert {r["key"]: r["n"] for r in clamped(df, "key", "at", "change", block).collect()} == want
     assert clamped(df.limit(0), "key", "at", "change").count() == 0
+
+
+def test_triangles_and_other_patterns(spark):
+    from itertools import permutations
+    from random import Random
+
+    from meshwright.operators.algorithms import match
+
+    rng = Random(5)
+    edges = {(rng.randrange(12), rng.randrange(12)) for _ in range(60)} | {(0, i) for i in range(12)} | {(i, 0) for i in range(0, 12, 2)}
+    labels = {e: rng.choice("xy") for e in edges}
+    df = spark.createDataFrame([(i, s, t, labels[s, t]) for i, (s, t) in enumerate(sorted(edges))], "eid long, src long, dst long, label string")
+    vertices = spark.range(12)
+    shapes = [
+        [("a", "b", None), ("b", "c", None), ("c", "a", None)],
+        [("a", "b", "x"), ("a", "c", "y"), ("b", "c", None)],
+        [("a", "b", "x"), ("b", "c", None)],
+        [("a", "b", "x"), ("b", "a", None)],
+        [("a", "b", "x"), ("b", "c", "y"), ("c", "d", "x"), ("a", "d", None)],
+    ]
+    for shape in shapes:
+        names = list(dict.fromkeys(c for s, t, _ in shape for c in (s, t)))
+        for where in (None, {"b": "id % 3 > 0"}):
+            want = set()
+            for ids in permutations(range(12), len(names)):
+                at = dict(zip(names, ids))
+                if (not where or at["b"] % 3) and all((at[s], at[t]) in edges and label in (None, labels[at[s], at[t]]) for s, t, label in shape):
+                    want.add(ids)
+            from pyspark.sql import functions as F
+
+            got = match(vertices, df, shape, {c: F.expr(x) for c, x in where.items()} if where else None).select(*names).collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want
