@@ -188,19 +188,22 @@ def match(vertices: DataFrame, edges: DataFrame, pattern: list[tuple[str, str, s
     """
     passing = {c: vertices.where(test).select(F.col("id").alias(c)) for c, test in (where or {}).items()}
 
-    def pairs(s: str, t: str, label: str | None) -> DataFrame:
-        rows = (edges if label is None else edges.where(F.col("label") == label)).where("src <> dst").select(F.col("src").alias(s), F.col("dst").alias(t)).distinct()
+    def pairs(s: str, t: str, table: DataFrame) -> DataFrame:
+        rows = table.select(F.col("src").alias(s), F.col("dst").alias(t))
         for c in (s, t):
             rows = rows.join(passing[c], c, "left_semi") if c in passing else rows
         return rows.select(s, t)
 
+    def plain(label: str | None) -> DataFrame:
+        return (edges if label is None else edges.where(F.col("label") == label)).select("src", "dst").where("src <> dst").distinct()
+
     names = list(dict.fromkeys(c for s, t, _ in pattern for c in (s, t)))
     if len(pattern) == 3 and len(names) == 3 and len({frozenset(e[:2]) for e in pattern}) == 3:
-        rows = triangles(edges, pattern, pairs)
+        rows = triangles({label: plain(label) for _, _, label in pattern}, pattern, pairs)
     else:
         rows, bound = None, []
         for s, t, label in pattern:
-            e, known = pairs(s, t, label), [c for c in (s, t) if c in bound]
+            e, known = pairs(s, t, plain(label)), [c for c in (s, t) if c in bound]
             rows = e if rows is None else rows.join(e, known) if known else rows.crossJoin(e)  # a pattern of parts that don't touch is a product
             for c in (s, t):
                 if c not in bound:
@@ -213,22 +216,18 @@ def match(vertices: DataFrame, edges: DataFrame, pattern: list[tuple[str, str, s
     return rows if limit is None else rows.orderBy(*names).limit(limit)
 
 
-def triangles(edges: DataFrame, pattern: list[tuple[str, str, str | None]], pairs) -> DataFrame:
+def triangles(tables: dict, pattern: list[tuple[str, str, str | None]], pairs) -> DataFrame:
     """Matches of three pattern edges over three vertices. Each has one corner of least rank (degree, then id); the two edges
     at that corner meet first, both leading to higher ranks, and the third edge closes them: at most m ** 1.5 pairs."""
-    ends = edges.select("src", "dst").where("src <> dst").distinct()
-    ranks = settle(ends.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("rank")))
-
-    def up(e: DataFrame, low: str, high: str) -> DataFrame:
-        for c in (low, high):
-            e = e.join(ranks.select(F.col("id").alias(c), F.col("rank").alias(f"__{c}")), c)
-        return e.where(F.struct(f"__{low}", low) < F.struct(F.col(f"__{high}").alias(f"__{low}"), F.col(high).alias(low))).select(low, high)
-
+    ends = reduce(DataFrame.unionAll, tables.values()).select(F.explode(F.array("src", "dst")).alias("id"))
+    ranks = ends.groupBy("id").agg(F.count("*").alias("degree")).select("id", F.struct("degree", "id").alias("rank"))
+    from_, to = (ranks.select(F.col("id").alias(c), F.col("rank").alias(f"r_{c}")) for c in ("src", "dst"))
+    ranked = {label: settle(t.join(from_, "src").join(to, "dst").select("src", "dst", (F.col("r_src") < F.col("r_dst")).alias("up"))) for label, t in tables.items()}
     found = []
     for low in dict.fromkeys(c for s, t, _ in pattern for c in (s, t)):
-        at = [up(pairs(*e), low, e[1] if e[0] == low else e[0]) for e in pattern if low in e[:2]]
-        closing = next(e for e in pattern if low not in e[:2])
-        found.append(at[0].join(at[1], low).where(F.col(closing[0]) != F.col(closing[1])).join(pairs(*closing), list(closing[:2])))
+        one, two = (pairs(s, t, ranked[label].where(F.col("up") if s == low else ~F.col("up"))) for s, t, label in pattern if low in (s, t))
+        s, t, label = next(e for e in pattern if low not in e[:2])
+        found.append(one.join(two, low).where(F.col(s) != F.col(t)).join(pairs(s, t, ranked[label]), [s, t]))
     return reduce(DataFrame.unionByName, found)
 
 
