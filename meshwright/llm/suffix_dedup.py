@@ -369,29 +369,35 @@ def merged(spans: pa.ListArray) -> list[list[tuple[int, int]]]:
     return out
 
 
-def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, tag, text); tag tells the texts of a repeated doc_id apart and is 0 for all others."""
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_of(f"`{text}`").alias("text"))
+def identified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, list[str]]:
+    """(doc_id, tag, text), and the columns that name a text; tag tells the texts of a repeated doc_id apart and is 0 for all others."""
+    # No alias where none is needed: the two uses of these rows would differ by it, and the exchange not be used again.
+    name = F.col(key) if key == "doc_id" and dict(docs.dtypes).get(key) == "bigint" else F.col(f"`{key}`").cast("long").alias("doc_id")
+    rows = docs.select(name, text_of(f"`{text}`").alias("text"))
     again = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again"))
     if again.isEmpty():
-        return rows.withColumn("tag", F.lit(0))
+        return rows.withColumn("tag", F.lit(0)), ["doc_id"]
     mark = F.when(F.col("again"), F.hash("text")).otherwise(0)
-    return rows.join(again, "doc_id", "left").select("doc_id", "text", mark.alias("tag"))
+    return rows.join(again, "doc_id", "left").select("doc_id", "text", mark.alias("tag")), ["doc_id", "tag"]
 
 
-def covered(rows: DataFrame) -> DataFrame:
-    """(doc_id, tag, a, b): stretches of bytes to remove. ``rows``: doc_id, tag, text."""
-    named = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", "tag", "text")
+def concerned() -> Column:
+    """Whether a row can lose bytes or make others lose them."""
+    return F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)
+
+
+def covered(named: DataFrame, keys: list[str]) -> DataFrame:
+    """(doc_id, tag, a, b): stretches of bytes to remove. ``named``: doc_id, tag, text, of rows that ``concerned`` holds for; ``keys`` name a text."""
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(spread_of(rows), -(-size // PARTITION))
+    parts = max(spread_of(named), -(-size // PARTITION))
     buckets = max(parts, -(-size // BUCKET))
     posted = named.mapInArrow(post(buckets), "bucket int, kind int, blob binary")
     found = cut(posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda frames: meet(frames, buckets), FOUND), "anchors")
     unlike = found.where("what = 1")
     crowded = unlike.groupBy("kh").count().where(F.col("count") > SPLIT).select("kh", F.lit(True).alias("crowded"))
-    asked = unlike.join(crowded, "kh", "left").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b", "kh", "left", "crowded")).alias("asked"))
+    asked = unlike.join(crowded, "kh", "left").groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "kh", "left", "crowded")).alias("asked"))
     raw = F.encode("text", "UTF-8")
-    held = named.join(asked, ["doc_id", "tag"]).select("doc_id", "tag", raw.alias("raw"), F.explode("asked").alias("q"))
+    held = named.join(asked, keys).select("doc_id", "tag", raw.alias("raw"), F.explode("asked").alias("q"))
     held = held.select("q.kh", "q.crowded", "doc_id", "tag", F.col("q.a").alias("start"), "q.left", F.substring("raw", (F.col("q.a") + 1).cast("int"), (F.col("q.b") - F.col("q.a")).cast("int")).alias("context"))
     whole = F.array(F.struct("kh", F.lit(-1).alias("part")))
     held = held.withColumn("key", F.explode(F.when(F.col("crowded"), longer_keys()).otherwise(whole))).select("key.*", "doc_id", "tag", "start", "left", "context")
@@ -413,8 +419,9 @@ def longer_keys() -> Column:
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each row of ``docs``."""
-    rows = identified(docs, key, text)
-    spans = covered(rows).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    rows, keys = identified(docs, key, text)
+    named = rows.where(concerned()).select("doc_id", "tag", "text")
+    spans = covered(named, keys).groupBy(*keys).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
     def told(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,4 +438,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=[c.split()[0] for c in schema.split(", ")])
 
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    return rows.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans")).mapInArrow(told, schema)
+    # The same frame as in the join for contexts, so that texts are shuffled once and that exchange is used again.
+    cut_ = named.join(spans, keys, "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
+    whole = rows.where(~concerned()).select("doc_id", "text", none.alias("spans"))
+    return cut_.unionAll(whole).mapInArrow(told, schema)
