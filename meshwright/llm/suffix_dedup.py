@@ -321,18 +321,23 @@ def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [g[3] for g in near]
         # Of a split gram, each key answers for the strings that have the gram at its STEP places.
         starts = None if part < 0 else [range(max(0, g[4] - part - STEP + 1), min(g[4] - part, len(g[3]) - LENGTH) + 1) for g in near]
-        cover = np.zeros((len(near), 2 * LENGTH), np.int32)
-        docs = np.array([g[0] for g in near])
+        docs = [g[0] for g in near]
+        ends: list[dict[int, int]] = [{} for _ in near]  # of each text, the farthest end of a repeat by its start
         for length, places in maximal_repeats(texts, LENGTH, starts):
-            i, s = np.array(places).T
-            later = docs[i] > docs[i].min()
-            np.add.at(cover, (i[later], s[later]), 1)
-            np.add.at(cover, (i[later], s[later] + length), -1)
-        inside = np.cumsum(cover, 1) > 0
-        edge = np.diff(inside.astype(np.int8), axis=1, prepend=0, append=0)
-        for (i, s), (_, e) in zip(np.argwhere(edge == 1).tolist(), np.argwhere(edge == -1).tolist(), strict=True):
-            doc, tag, start = near[i][:3]
-            out.append((doc, tag, start + s, start + e))
+            least = min(docs[i] for i, _ in places)
+            for i, s in places:
+                if docs[i] > least and ends[i].get(s, 0) < s + length:
+                    ends[i][s] = s + length
+        for (doc, tag, start, *_), spans in zip(near, ends, strict=True):
+            since = until = -1
+            for s, e in sorted(spans.items()):
+                if s > until:
+                    if until > 0:
+                        out.append((doc, tag, start + since, start + until))
+                    since = s
+                until = max(until, e)
+            if until > 0:
+                out.append((doc, tag, start + since, start + until))
 
     def told() -> pa.RecordBatch:
         cols = list(zip(*out, strict=True))
