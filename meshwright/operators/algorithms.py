@@ -56,27 +56,88 @@ def shortest_path(adj: DataFrame, start: int, end: int, max_depth: int | None =
     return reduce(DataFrame.unionAll, steps).select(F.col("depth").alias("pos"), "id")
 
 
-def dfs(adj: DataFrame, start: int, max_depth: int = 10, most: int = 1_000_000) -> DataFrame:
-    """(pos, id, depth) in depth-first preorder, neighbours by id. A preorder is a chain of steps, so it runs on the driver.
+def dfs(adj: DataFrame, start: int, max_depth: int = 10, most: int | None = None) -> DataFrame:
+    """(pos, id, depth) in depth-first preorder, neighbours by id.
 
-    Only graphs of at most ``most`` edges within reach are taken; larger ones raise ValueError before anything is fetched.
+    A preorder is a chain of steps, so one task takes them, over all edges within reach, however many. It gets each vertex's
+    neighbours in order, keeps them in a file of its own and holds 17 bytes a vertex, 32 while it numbers them. If a caller
+    names ``most``, more edges to follow than that raise ValueError before the walk.
     """
-    inside = bfs(adj, start, max_depth).select(F.col("id").alias("src"))
-    near = settle(adj.join(inside, "src", "left_semi").select("src", "dst"), "dfs")
-    if near.count() > most:
-        raise ValueError(f"more than {most} edges within {max_depth} hops")
-    after: dict[int, list[int]] = {}
-    for r in near.orderBy("src", "dst").collect():
-        after.setdefault(r["src"], []).append(r["dst"])
-    out, seen, stack = [], set(), [(start, 0)]
-    while stack:
-        v, depth = stack.pop()
-        if v in seen or depth > max_depth:
-            continue
-        seen.add(v)
-        out.append((len(out), v, depth))
-        stack += [(w, depth + 1) for w in reversed(after.get(v, [])) if w not in seen]
-    return adj.sparkSession.createDataFrame(out, "pos int, id bigint, depth int")
+    inside = settle(bfs(adj, start, max_depth).where("id IS NOT NULL"), "within")
+    ends = inside.where(F.col("depth") < max_depth).select(F.col("id").alias("src"))  # no walk leaves the others: it can't come sooner than the shortest
+    near = adj.join(ends, "src", "left_semi").where("src <> dst").select("src", "dst")
+    if most is not None:
+        near = settle(near, "near")
+        if near.count() > most:
+            raise ValueError(f"more than {most} edges within {max_depth} hops")
+    # A null opens each vertex's neighbours. Each partition is sorted by itself, and the one task reads them one after another.
+    runs = inside.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst")).unionAll(near)
+    runs = runs.repartition(spread(adj), "src").sortWithinPartitions("src", F.asc_nulls_first("dst")).coalesce(1)
+    return settle(runs.mapInArrow(preorder(start, max_depth), "pos int, id bigint, depth int"), "dfs")
+
+
+def preorder(start: int, max_depth: int, block: int = 1 << 16):
+    """For one partition of rows (src, dst), each vertex's together: a null, then its neighbours in order, which are vertices too."""
+
+    def told(frames):
+        import os
+        import tempfile
+        from array import array
+        from itertools import chain, islice
+
+        import numpy as np
+        import pyarrow as pa
+
+        with tempfile.TemporaryFile() as file:
+            ids, at, m = [], [], 0  # vertices as they come, and where in the file their neighbours begin
+            for frame in frames:
+                src, dst = frame.column("src"), frame.column("dst")
+                opens = np.flatnonzero(dst.is_null().to_numpy(zero_copy_only=False))
+                ids.append(src.to_numpy()[opens])
+                at.append(m + opens - np.arange(len(opens)))
+                m += file.write(dst.drop_null().to_numpy()) // 8
+            file.flush()
+            n, held = sum(map(len, ids)), file.fileno()
+            ids, at = np.concatenate(ids), np.concatenate([*at, [m]])
+            order = np.argsort(ids)
+            by_id = ids[order]
+
+            def numbers(some):
+                return order[np.searchsorted(by_id, some)]
+
+            for a in range(0, m, block):
+                os.pwrite(held, numbers(np.frombuffer(os.pread(held, 8 * block, 8 * a), "int64")), 8 * a)
+            first = int(numbers(start))
+            del order, by_id
+            begins = memoryview(at)
+
+            def after(v: int):
+                lo, hi = begins[v], begins[v + 1]
+                return chain.from_iterable(array("q", os.pread(held, 8 * min(block, hi - a), 8 * a)) for a in range(lo, hi, block))
+
+            def walk():
+                seen = bytearray(n)
+                seen[first] = 1
+                yield first, 0
+                open_ = [after(first)] if max_depth > 0 else []
+                while open_:
+                    for v in open_[-1]:
+                        if not seen[v]:
+                            seen[v] = 1
+                            yield v, len(open_)
+                            if len(open_) < max_depth:
+                                open_.append(after(v))
+                                break
+                    else:
+                        open_.pop()
+
+            steps, pos = walk(), 0
+            while some := list(islice(steps, block)):
+                v, depth = np.array(some, "int64").T
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(pos, pos + len(some), dtype="int32")), pa.array(ids[v]), pa.array(depth.astype("int32"))], ["pos", "id", "depth"])
+                pos += len(some)
+
+    return told
 
 
 def sssp(adj: DataFrame, start: int) -> DataFrame:

@@ -98,6 +98,45 @@ def test_depth_first(graph):
         alg.dfs(g.adj, 1, most=3)
 
 
+def test_depth_first_beyond_a_million_edges(spark):
+    n = 1_050
+    adj = spark.range(n * n).selectExpr("id div 1050 AS src", "id % 1050 AS dst")  # all pairs: a chain of 10 hops, whose last vertex but one leads to all the rest
+    got = alg.dfs(adj, 0).orderBy("pos")
+    assert got.dtypes == [("pos", "int"), ("id", "bigint"), ("depth", "int")]
+    assert [tuple(r) for r in got.collect()] == [(i, i, min(i, 10)) for i in range(n)]
+
+
+def test_depth_first_in_order(spark):
+    from random import Random
+
+    rng = Random(7)
+    for n, m, depth in ((40, 70, 10), (40, 160, 3), (300, 500, 25), (300, 900, 10), (5, 20, 0), (30, 90, 1)):
+        edges = {(10 * rng.randrange(n), 10 * rng.randrange(n)) for _ in range(m)} | {(0, 10)}
+        want, seen, todo = [], set(), [(0, 0)]
+        while todo:
+            v, at = todo.pop()
+            if v not in seen and at <= depth:
+                seen.add(v)
+                want.append((len(want), v, at))
+                todo += [(t, at + 1) for s, t in sorted(edges, reverse=True) if s == v]
+        rows = list(edges)
+        rng.shuffle(rows)
+        adj = spark.createDataFrame([*rows, (0, None), (None, 10)], "src bigint, dst bigint")
+        assert [tuple(r) for r in alg.dfs(adj, 0, max_depth=depth).orderBy("pos").collect()] == want
+
+
+def test_depth_first_in_blocks():
+    import pyarrow as pa
+
+    kind = pa.schema([("src", "int64"), ("dst", "int64")])
+    runs = [(5, None), (7, None), (7, 5), (7, 9), (7, 11), (9, None), (9, 7), (9, 20), (20, None), (11, None), (11, 9)]
+    for size in (1, 2, 3, 99):
+        frames = [pa.record_batch([[r[i] for r in runs[a : a + size]] for i in (0, 1)], schema=kind) for a in range(0, len(runs), size)]
+        for block in (1, 2, 64):
+            out = [tuple(r.values()) for b in alg.preorder(7, 4, block)(iter(frames)) for r in b.to_pylist()]
+            assert out == [(0, 7, 0), (1, 5, 1), (2, 9, 1), (3, 20, 2), (4, 11, 1)]
+
+
 def test_degrees_stars_loops(graph):
     g = graph([(2, 3), (2, 4), (2, 5)])
     assert [r["vertex_id"] for r in engine.execute(g, F.col("degree") > 1, degrees=True).collect()] == ["v2"]
