@@ -22,13 +22,17 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshwright.llm.common import text_of
 
-MEMO = 400_000
+#: Entries of each of a codec's two tables of pre-tokens met before, of about 200 bytes; beside each running task a worker holds both.
+MEMO = 200_000
+#: Tokens, or characters, from which on results leave the worker, so that it holds those of a few texts whatever a batch has.
+SLICE = 1 << 18
 GOLD = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -254,22 +258,37 @@ def decode(coded: DataFrame, path: str, pattern: str, ids: str = "__ids") -> Dat
     return coded.withColumn("__bytes", back(F.col(ids)))
 
 
+def told(c: Codec, parts: Iterator[pa.Array], with_ids: bool) -> Iterator[pa.Array]:
+    """Structs of n_tokens, ids_sha256, decoded_sha256 and ids if asked for; texts are taken one by one and results sent by slices."""
+    for texts in parts:
+        counts, coded, decoded, every, size = [], [], [], array("I"), 0
+        for i, t in enumerate(texts, 1):
+            t = t.as_py()
+            ids = c.encode(t)
+            counts.append(len(ids))
+            coded.append(hashlib.sha256(np.frombuffer(ids, np.uint32).astype("<u4").tobytes()).hexdigest())
+            decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            size += max(len(ids), len(t))
+            if with_ids:
+                every.extend(ids)
+            if size >= SLICE or i == len(texts):
+                columns = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+                if with_ids:
+                    ends = np.cumsum([0, *counts]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(every, np.uint32).astype(np.int32)))
+                yield pa.StructArray.from_arrays(list(columns.values()), list(columns))
+                counts, coded, decoded, every, size = [], [], [], array("I"), 0
+
+
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """Columns ``keep`` with n_tokens and the digests of ids and decoded bytes, made in one pass so that ids needn't leave the worker."""
     out = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     held = shared(docs, path, pattern)
 
-    @F.pandas_udf(out)
-    def told(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = held.value
-        for texts in parts:
-            rows = []
-            for t in texts:
-                ids = c.encode(t)
-                raw = np.frombuffer(ids, np.uint32).astype("<u4").tobytes()
-                rows.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest(), *[np.frombuffer(ids, np.uint32).astype(np.int32)] * with_ids))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+    @F.arrow_udf(out)
+    def rows(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from told(held.value, parts, with_ids)
 
     keep = docs.columns if keep is None else keep
-    return docs.select(*[f"`{c}`" for c in keep], told(text_of(f"`{text}`")).alias("__t")).select(*[f"`{c}`" for c in keep], "__t.*")
+    return docs.select(*[f"`{c}`" for c in keep], rows(text_of(f"`{text}`")).alias("__t")).select(*[f"`{c}`" for c in keep], "__t.*")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import sys
 from collections import Counter, defaultdict
 
 import pytest
@@ -356,6 +357,43 @@ def test_bpe(spark, awkward):
     assert all(bytes(r["__bytes"]).decode() == (r["text"] or "") for r in coded.collect())
 
 
+def test_bpe_holds_little(spark):
+    """A worker's memory: results leave by slices, not by batches, and the tables of pre-tokens are small."""
+    import public_tokenizers as P
+    import pyarrow as pa
+    import tiktoken
+
+    ranks = bpe.ranks_of(P.path(q.VOCABULARY))
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    c = bpe.Codec(ranks, P.PATTERN)
+    long = ["", "ab c" * 30_000, "a", "", "\u4e2d\u6587 x" * 9_000, "b c"] * 8
+    read = []
+
+    def parts():
+        for batch in (pa.array(long), pa.array([], pa.string()), pa.array(["d", ""])):
+            read.append(len(batch))
+            yield batch
+
+    out = bpe.told(c, parts(), True)
+    first = next(out)
+    assert read == [len(long)] and len(first) < len(long)
+    got = [first, *out]
+    assert all(sum(x["n_tokens"] for x in a.to_pylist()[:-1]) < bpe.SLICE for a in got) and len(got) > 3
+    rows = [x for a in got for x in a.to_pylist()]
+    assert [x["ids"] for x in rows] == [e.encode_ordinary(t) for t in [*long, "d", ""]]
+    assert [x["n_tokens"] for x in rows] == [len(x["ids"]) for x in rows]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*long, None, "e f g h i j k"])], "doc_id bigint, text string").coalesce(1)
+    for r in bpe.digests(frame, P.path(q.VOCABULARY), P.PATTERN, with_ids=True).collect():
+        ids = e.encode_ordinary(r["text"] or "")
+        assert (list(r["ids"]), r["n_tokens"]) == (ids, len(ids)) and r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+    assert bpe.digests(frame.where("doc_id < 0"), P.path(q.VOCABULARY), P.PATTERN, with_ids=True).collect() == []
+
+    for i in range(1000, 461_000, 1000):
+        c.encode(" ".join(f"{n:x}" for n in range(i, i + 1000)).translate(str.maketrans("0123456789", "ghijklmnop")))
+    tables = (c.memo, c.older)
+    assert sum(sys.getsizeof(t) + sum(sys.getsizeof(k) + sys.getsizeof(v) + 16 for k, v in t.items()) for t in tables) < 70e6
+
+
 def test_perfect_hash_is_minimal():
     keys = [str(i).encode() for i in range(999)]
     h = bpe.PerfectHash(keys)
